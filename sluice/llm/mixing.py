@@ -68,15 +68,19 @@ def targets(sized: DataFrame, block_words: int) -> DataFrame:
     return s.select("source", "source_size", "target", "blocks", "draws", "first_draw", F.sum("draws").over(every).alias("all_draws"))
 
 
-def permuted(df: DataFrame, out: str, index: Column, size: Column, *key: Column) -> DataFrame:
-    """``out``: the place of ``index`` in a keyed pseudorandom permutation of ``[0, size)``."""
-    df = df.withColumn(out, index)
-    for r in range(ROUNDS):
-        other = F.pmod(F.pmod(F.xxhash64(F.lit(2 * r), *key), size) - F.col(out), size)
-        df = df.withColumn("_other", other)
-        bit = F.xxhash64(F.lit(2 * r + 1), F.greatest(F.col(out), F.col("_other")), *key).bitwiseAND(F.lit(1).cast("long"))
-        df = df.withColumn(out, F.when(bit == 1, F.col("_other")).otherwise(F.col(out)))
-    return df.drop("_other")
+def permuted(index: Column, size: Column, *key: Column) -> Column:
+    """The place of ``index`` in a keyed pseudorandom permutation of ``[0, size)``.
+
+    The rounds are folded by a higher-order function: as nested columns they would be
+    copied into each other when a filter is pushed below them.
+    """
+
+    def turn(at: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(2 * r, *key), size) - at, size)
+        bit = F.xxhash64(2 * r + 1, F.greatest(at, other), *key).bitwiseAND(F.lit(1).cast("long"))
+        return F.when(bit == 1, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), index.cast("long"), turn)
 
 
 def slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
@@ -87,9 +91,9 @@ def slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
         chunks.repartition(shuffle_partitions(spark), "source", "chunk")
         .select("source", "blocks", "first_draw", "all_draws", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("draws")) - 1)).alias("draw"))
     )
-    draws = permuted(draws, "at", F.col("first_draw") + F.col("draw"), F.col("all_draws"), F.lit(seed))
+    draws = draws.withColumn("at", permuted(F.col("first_draw") + F.col("draw"), F.col("all_draws"), F.lit(seed)))
     draws = draws.withColumn("epoch", F.expr("draw div blocks"))
-    draws = permuted(draws, "block", F.col("draw") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("epoch"))
+    draws = draws.withColumn("block", permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("epoch")))
     return draws.select(F.expr(f"at div {shard_slots}").alias("shard"), (F.col("at") % shard_slots).alias("slot"), "source", "draw", "epoch", "block")
 
 
