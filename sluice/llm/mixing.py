@@ -134,7 +134,8 @@ def spans(placed: DataFrame, block_words: int) -> DataFrame:
 
 def drawn(placed: DataFrame, sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """Each drawn piece of a document: row, low, high, epoch, shard, slot."""
-    a, b = spans(placed, block_words).alias("a"), slots(sources, shard_slots, seed).alias("b")
+    # both sides grow with the corpus, though the planner takes the slots to be as small as the sources
+    a, b = spans(placed, block_words).alias("a"), slots(sources, shard_slots, seed).hint("merge").alias("b")
     return a.join(b, F.expr("a.source <=> b.source and a.block = b.block")).select("a.row", "low", "high", "epoch", "shard", "slot")
 
 
