@@ -170,7 +170,11 @@ class Linker:
         x, y = self.sets.select(F.col("fp").alias("u"), F.col("s").alias("sx")), self.sets.select(F.col("fp").alias("v"), F.col("s").alias("sy"))
         both = F.size(F.array_intersect("sx", "sy"))
         found = pairs.join(x, "u").join(y, "v").where(100 * both >= self.percent * (F.size("sx") + F.size("sy") - both)).select("u", "v")
-        ends = found.join(self.labels.select(F.col("fp").alias("u"), F.col("label").alias("lu")), "u").join(self.labels.select(F.col("fp").alias("v"), F.col("label").alias("lv")), "v")
+        self.join_components(found)
+
+    def join_components(self, links: DataFrame) -> None:
+        """Give the components of linked nodes one label, the smallest."""
+        ends = links.join(self.labels.select(F.col("fp").alias("u"), F.col("label").alias("lu")), "u").join(self.labels.select(F.col("fp").alias("v"), F.col("label").alias("lv")), "v")
         stars = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
         moved = self.labels.join(stars.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
         self.labels = written(moved.select("fp", F.coalesce("to", "label").alias("label")), "near-labels")
@@ -191,23 +195,33 @@ class Linker:
         self.link(closest.select("u", F.explode("c.v").alias("v")))
 
     def remaining(self) -> None:
-        """Every pair across components that shares a table key: equal in some group of either collection.
-
-        One side leaves out the largest component of the group it is joined by, so the
-        cost is the nodes outside that component times the group.  Each pair comes from
-        the first left group that it has in common.
+        """Every pair across components that shares a table key, confirmed inside the join.
+
+        A shared table key is an equal group on either side of the collections.  One side
+        leaves out the largest component of the group it is joined by, so the cost is the
+        nodes outside that component times the group.  Each pair is tested in the first
+        left group that it has in common, first by sizes and sketches.  Nodes without any
+        pair left by those are dropped before the sets are attached, and only links leave
+        the join.
         """
         nodes = self.info.join(self.labels, "fp")
-        rows = written(nodes.select("fp", "label", "n", "a", "b", "x1", "x2", F.explode("a").alias("g")), "near-groups", "lz4")
+        rows = written(nodes.select("fp", "label", "n", "a", "b", "x1", "x2", F.posexplode("a").alias("k", "g")), "near-groups", "lz4")
         by = rows.groupBy("g", "label").count()
         main = by.groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("g", "main")
-        rows = rows.join(main, "g")
-        x, y = rows.where("label != main").alias("x"), rows.alias("y")
-        first = F.filter(F.zip_with("x.a", "y.a", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())[0]
+        rows = written(rows.join(main, "g"), "near-open", "lz4")
+        same = lambda side, k: F.col(f"x.{side}")[k] == F.col(f"y.{side}")[k]
+        earlier, right = F.lit(False), F.lit(False)
+        for k in range(SIDE):
+            earlier, right = earlier | ((F.col("x.k") > k) & same("a", k)), right | same("b", k)
         across = (F.col("x.g") == F.col("y.g")) & (F.col("x.label") != F.col("y.label")) & self.near("x", "y")
         once = (F.col("y.label") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))
-        table = (first == F.col("x.g")) & F.arrays_overlap("x.b", "y.b")
-        self.link(x.join(y, across & once & table).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
+        possible = across & once & ~earlier & right
+        x, y = rows.where("label != main").alias("x"), rows.alias("y")
+        x_rows, y_rows = x.join(y, possible, "left_semi"), y.join(x, possible, "left_semi")
+        both = F.size(F.array_intersect("x.s", "y.s"))
+        confirmed = 100 * both >= self.percent * (F.col("x.n") + F.col("y.n") - both)
+        links = x_rows.join(self.sets, "fp").hint("merge").alias("x").join(y_rows.join(self.sets, "fp").alias("y"), possible & confirmed)
+        self.join_components(links.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
