@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, sentencepiece_fst, token_counts
+from . import exact_dedup, gif_media, language_id, mixing, near_dedup, sentencepiece_fst, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(_documents(spark, sf_dir))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir))
 
 
+def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.media_digests(_documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,7 +47,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op5_minhash_near_dedup, op7_token_counts, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_language_id, op5_minhash_near_dedup, op6_gif_media, op7_token_counts, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
