@@ -26,7 +26,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, written
@@ -128,15 +128,16 @@ def _local(memory: int):
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            given = batch.column(2).to_pylist() if batch.num_columns > 2 else range(base + row, base + row + len(ids))
             rows, reps = [], []
-            for doc_id, text in zip(ids, texts, strict=True):
+            for doc_id, text, at in zip(ids, texts, given, strict=True):
                 content = normalise(text.as_py())
-                k = table.add(hash(content), content, doc_id, base + row, 1)
+                k = table.add(hash(content), content, doc_id, at, 1)
                 if k == len(first):
-                    first.append(base + row)
-                rows.append(base + row)
+                    first.append(at)
+                rows.append(at)
                 reps.append(first[k])
-                row += 1
+            row += len(ids)
             empty = [None] * len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((rows, ids, reps, empty, empty, empty, empty), LOCAL.types, strict=True)], schema=LOCAL)
             if table.size > memory:
@@ -219,6 +220,15 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), GLOBAL.types, strict=True)], schema=GLOBAL)
 
 
+def _resolved(docs: DataFrame, memory: int, *row: Column) -> DataFrame:
+    """row, doc_id, keep_id, keep_row, group_size, sha of each input row, numbered by ``row`` where given."""
+    spark = docs.sparkSession
+    local = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row).mapInArrow(_local(memory), LOCAL_SQL), "dedup-local")
+    reps = local.where("n is not null").select("h", "rep", "doc_id", "row", "n", "sha", "content")
+    found = reps.repartition(shuffle_partitions(spark), "h").mapInArrow(_global(memory), GLOBAL_SQL)
+    return local.where("n is null").select("row", "doc_id", "rep").join(found, "rep", "left")
+
+
 def exact_dedup(docs: DataFrame, memory: int = 96 << 20) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -226,14 +236,15 @@ def exact_dedup(docs: DataFrame, memory: int = 96 << 20) -> DataFrame:
     share text and smallest doc_id, one is kept.  An empty table gives an empty result,
     and other columns of ``docs`` are ignored.  ``memory`` bounds the bytes of one table.
     """
-    spark = docs.sparkSession
-    local = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_local(memory), LOCAL_SQL), "dedup-local")
-    reps = local.where("n is not null").select("h", "rep", "doc_id", "row", "n", "sha", "content")
-    found = reps.repartition(shuffle_partitions(spark), "h").mapInArrow(_global(memory), GLOBAL_SQL)
-    rows = local.where("n is null").select("row", "doc_id", "rep")
-    return rows.join(found, "rep", "left").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    kept = F.col("row") == F.col("keep_row")
+    return _resolved(docs, memory).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, memory: int = 96 << 20) -> DataFrame:
+    """The input's rows without those that ``exact_dedup`` drops."""
+    rowed = written(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "dedup-docs", "snappy")
+    kept = _resolved(rowed, memory, F.col("_dedup_row")).where("row = keep_row").select(F.col("row").alias("_dedup_row"))
+    return rowed.join(kept, "_dedup_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = """

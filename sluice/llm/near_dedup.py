@@ -246,3 +246,9 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = sig.select("doc_id", "n", "fp").join(of, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The input's rows whose document ``near_dedup`` keeps: one of each group, the smallest id."""
+    kept = near_dedup(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

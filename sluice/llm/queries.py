@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, gif_media, language_id, mixing, near_dedup, sentencepiece_fst, token_counts
+from . import exact_dedup, gif_media, language_id, mixing, near_dedup, pii, quality, quotations, sentencepiece_fst, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(_documents(spark, sf_dir))
 
 
+def op4_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir))
 
@@ -42,12 +46,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_language_id, op5_minhash_near_dedup, op6_gif_media, op7_token_counts, op9_source_mixing)}
+    found = (
+        op1_sentencepiece, op2_exact_dedup, op3_language_id, op4_chat_quotations, op5_minhash_near_dedup,
+        op6_gif_media, op7_token_counts, op8_quality_classifier, op9_source_mixing, op10_pii_pseudonyms,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
