@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def numbered(df: DataFrame, order: list[Column], start: int, out: str = "id") -> DataFrame:
     """Dense numbers from ``start`` on, in a total order, without gathering the rows in one task.
@@ -15,7 +17,8 @@ def numbered(df: DataFrame, order: list[Column], start: int, out: str = "id") ->
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_in"))
+    # written down, as the bounds of a range partitioning are sampled anew by every evaluation
+    placed = written(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_in")), "numbered")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
     return placed.join(F.broadcast(before), "_part").withColumn(out, F.lit(start) + F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")

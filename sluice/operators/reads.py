@@ -21,7 +21,7 @@ def bound(log: DataFrame, bindings: DataFrame, group: int) -> DataFrame:
         return log
     if len(patterns) <= INLINE_BINDINGS:
         return log.where(F.col("routing_key").rlike("|".join(f"(?:{p})" for p in patterns)))
-    return log.join(mine, F.col("routing_key").rlike(F.col("pattern_regex")), "left_semi")
+    return log.join(mine, F.rlike("routing_key", "pattern_regex"), "left_semi")
 
 
 def winners(log: DataFrame, heads: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def matching_groups(groups: DataFrame, bindings: DataFrame, names: DataFrame) ->
     """
     bound = bindings.select("consumer_group_id").distinct()
     free = groups.join(bound, groups["id"] == bound["consumer_group_id"], "left_anti")
-    hit = names.join(bindings, F.col("name").rlike(F.col("pattern_regex"))).select(names["name"], F.col("consumer_group_id").alias("id")).distinct()
+    hit = names.select("name").join(bindings, F.rlike("name", "pattern_regex")).select("name", F.col("consumer_group_id").alias("id")).distinct()
     named = groups.select("id", F.col("name").alias("consumer_group"))
     return hit.join(named, "id").unionByName(free.select("id", F.col("name").alias("consumer_group")).crossJoin(names.select("name")).select("id", "name", "consumer_group"))
 
