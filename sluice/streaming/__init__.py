@@ -1 +1 @@
-
+"""Structured Streaming: producing, consuming, and keyed state."""
