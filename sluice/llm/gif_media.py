@@ -137,7 +137,7 @@ def unlzw(stream: bytes, minimum: int, pixels: int) -> bytes:
 
 @dataclass
 class Frame:
-    """A composed frame: the canvas after drawing, and where and when it was drawn."""
+    """A composed frame: where and when it was drawn, and the canvas, which stays as it is until the next frame is asked for."""
 
     number: int
     at_ms: int

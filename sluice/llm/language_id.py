@@ -96,14 +96,17 @@ class Model:
 
 
 def _logs(rows: list, languages: list[str], totals: dict[str, int], first: int) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies; zero-centred, so that an item equally frequent everywhere scores 0."""
+    """Log frequencies, each mixed with a tenth of the mean over languages so that none is zero.
+
+    They are centred: an item equally frequent everywhere scores 0.
+    """
     place = {x: i for i, x in enumerate(languages)}
-    counts = np.full((len(rows), len(languages)), 0.5)
+    counts = np.zeros((len(rows), len(languages)))
     for k, r in enumerate(rows):
         for lang, n in r["by"].items():
             counts[k, place[lang]] += n
-    size = np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
-    logs = np.log(counts / size)
+    rates = counts / np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
+    logs = np.log(0.9 * rates + 0.1 * rates.mean(axis=1, keepdims=True))
     return {r["item"]: first + k for k, r in enumerate(rows)}, logs - logs.mean(axis=1, keepdims=True)
 
 
