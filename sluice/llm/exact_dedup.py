@@ -26,10 +26,10 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, written
+from .shared import SPACE, dropped, shuffle_partitions, written
 
 _SPACES = b" \t\n\x0b\x0c\r"
 FANOUT_BITS = 4
@@ -128,7 +128,7 @@ def _local(memory: int):
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            given = batch.column(2).to_pylist() if batch.num_columns > 2 else range(base + row, base + row + len(ids))
+            given = range(base + row, base + row + len(ids))
             rows, reps = [], []
             for doc_id, text, at in zip(ids, texts, given, strict=True):
                 content = normalise(text.as_py())
@@ -220,31 +220,45 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), GLOBAL.types, strict=True)], schema=GLOBAL)
 
 
-def _resolved(docs: DataFrame, memory: int, *row: Column) -> DataFrame:
-    """row, doc_id, keep_id, keep_row, group_size, sha of each input row, numbered by ``row`` where given."""
-    spark = docs.sparkSession
-    local = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *row).mapInArrow(_local(memory), LOCAL_SQL), "dedup-local")
-    reps = local.where("n is not null").select("h", "rep", "doc_id", "row", "n", "sha", "content")
-    found = reps.repartition(shuffle_partitions(spark), "h").mapInArrow(_global(memory), GLOBAL_SQL)
-    return local.where("n is null").select("row", "doc_id", "rep").join(found, "rep", "left")
+#: Dropped rows that ``deduplicated`` broadcasts at most (about 100 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def exact_dedup(docs: DataFrame, memory: int = 96 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text is the empty text.  A null doc_id sorts after all others; of rows that
     share text and smallest doc_id, one is kept.  An empty table gives an empty result,
     and other columns of ``docs`` are ignored.  ``memory`` bounds the bytes of one table.
     """
+    spark = docs.sparkSession
+    local = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_local(memory), LOCAL_SQL), "dedup-local")
+    reps = local.where("n is not null").select("h", "rep", "doc_id", "row", "n", "sha", "content")
+    found = reps.repartition(shuffle_partitions(spark), "h").mapInArrow(_global(memory), GLOBAL_SQL)
+    rows = local.where("n is null").select("row", "doc_id", "rep").join(found, "rep", "left")
     kept = F.col("row") == F.col("keep_row")
-    return _resolved(docs, memory).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = written(rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")), "dedup-rows")
+    dropped(local)
+    return out
 
 
-def deduplicated(docs: DataFrame, memory: int = 96 << 20) -> DataFrame:
-    """The input's rows without those that ``exact_dedup`` drops."""
-    rowed = written(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "dedup-docs", "snappy")
-    kept = _resolved(rowed, memory, F.col("_dedup_row")).where("row = keep_row").select(F.col("row").alias("_dedup_row"))
-    return rowed.join(kept, "_dedup_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+def deduplicated(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
+    """The input's rows without those that ``exact_dedup`` drops.
+
+    Rows are told apart by doc_id and text.  Of rows that repeat both, one stays.
+    """
+    found = exact_dedup(docs, memory)
+    keys = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = written(keys, "dedup-keys")
+    gone = keys.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+    repeated = keys.where("kept and n > 1").limit(1).count()
+    gone = F.broadcast(gone) if keys.where("not kept").count() <= BROADCAST_ROWS else gone
+    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{SPACE}]+", " "), "UTF-8"), 256)
+    hashed = docs.withColumn("_dedup_sha", sha)
+    kept = hashed.join(gone, hashed["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.col("_dedup_sha") == F.col("_gone_sha")), "left_anti")
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id", "_dedup_sha"])
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = """
