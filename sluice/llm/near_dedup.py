@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, written
+from .shared import dropped, shuffle_partitions, written
 from .shingles import mix, shingle_sets, slices
 
 SIDE = 8
@@ -127,7 +127,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        e = written(small.select("e.*").where("u != v").distinct(), "cc")
+        old, e = e, written(small.select("e.*").where("u != v").distinct(), "cc")
+        dropped(old)
         after = digest(e)
         if after == before:
             break
@@ -148,6 +149,7 @@ class Linker:
         keys = written(keys, "near-keys")
         shared = keys.groupBy("key").count().where("count > 1").select("key")
         self.tables = written(keys.join(shared, "key", "left_semi"), "near-tables")
+        dropped(keys)
         used = self.tables.select("fp").distinct()
         self.info = written(nodes.join(used, "fp", "left_semi"), "near-nodes")
         ids = written(self.info.select("id"), "near-ids")
@@ -171,6 +173,7 @@ class Linker:
         both = F.size(F.array_intersect("sx", "sy"))
         found = pairs.join(x, "u").join(y, "v").where(100 * both >= self.percent * (F.size("sx") + F.size("sy") - both)).select("u", "v")
         self.join_components(found)
+        dropped(pairs)
 
     def join_components(self, links: DataFrame) -> None:
         """Give the components of linked nodes one label, the smallest."""
@@ -208,7 +211,8 @@ class Linker:
         rows = written(nodes.select("fp", "label", "n", "a", "b", "x1", "x2", F.posexplode("a").alias("k", "g")), "near-groups", "lz4")
         by = rows.groupBy("g", "label").count()
         main = by.groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("g", "main")
-        rows = written(rows.join(main, "g"), "near-open", "lz4")
+        rows, every = written(rows.join(main, "g"), "near-open", "lz4"), rows
+        dropped(every)
         same = lambda side, k: F.col(f"x.{side}")[k] == F.col(f"y.{side}")[k]
         earlier, right = F.lit(False), F.lit(False)
         for k in range(SIDE):
@@ -222,6 +226,8 @@ class Linker:
         confirmed = 100 * both >= self.percent * (F.col("x.n") + F.col("y.n") - both)
         links = x_rows.join(self.sets, "fp").hint("merge").alias("x").join(y_rows.join(self.sets, "fp").alias("y"), possible & confirmed)
         self.join_components(links.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
+        for t in (rows, self.tables, self.sets):
+            dropped(t)
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -250,5 +256,7 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The input's rows whose document ``near_dedup`` keeps: one of each group, the smallest id."""
-    kept = near_dedup(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    found = written(near_dedup(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")), "near-kept")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"))
+    gone = F.broadcast(gone) if found.where("not kept").count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
