@@ -25,7 +25,7 @@ LONGEST = 5
 MAX_TRAINING_DOCS = 8192
 MAX_WORDS = 60_000
 MAX_NGRAMS = 120_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 UNDETERMINED = "und"
 #: Runs of letters of any script; for Java, and for Python (where \w holds digits and _ too).
 _JAVA_WORDS = r"\p{L}+"
@@ -153,13 +153,14 @@ def identify(docs: DataFrame, model: Model, language: str = "lang_pred", score:
     def run(batches):
         m = Model(*sent.value)
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [m.predict(t.as_py()) for t in batch.column(at).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())],
-                names=[*batch.schema.names[:-1], language, score],
+                [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())],
+                names=[*batch.schema.names, language, score],
             )
 
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_identified"))
+    at = keep.index("text")
+    given = docs.select(*[F.col(f"`{c}`") for c in keep])
     return given.mapInArrow(run, f"{schema + ', ' if schema else ''}`{language}` string, `{score}` double")
 
 

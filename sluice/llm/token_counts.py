@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe_paths import Vocabulary
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def _class(categories: tuple[str, ...]) -> str:
@@ -203,11 +203,12 @@ def _passed_through(docs: DataFrame, path: str, name: str, kind: str, make) -> D
     def run(batches):
         c = counter(path)
         for batch in batches:
-            values = [make(c, t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            values = [make(c, t.as_py()) for t in batch.column(at).cast(pa.string())]
             kinds = {"array<int>": pa.list_(pa.int32()), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, kinds[kind])], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kinds[kind])], names=[*batch.schema.names, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_counted")).mapInArrow(run, f"{schema}, {name} {kind}")
+    at = keep.index("text")
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, f"{schema}, {name} {kind}")
 
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
