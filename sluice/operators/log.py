@@ -29,13 +29,14 @@ def append_plan(batch: DataFrame, known: DataFrame, max_id: int) -> DataFrame:
 
     ``batch`` has seq (its order) and idempotency_key; ``known`` has idempotency_key.
     """
-    first = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("seq")) == 1
-    seen = known.select("idempotency_key").distinct().withColumn("_known", F.lit(True))
-    marked = batch.withColumn("_first", first).join(seen, "idempotency_key", "left").withColumn("_new", F.col("_first") & F.col("_known").isNull())
+    # the least seq of a key by partial aggregation, so a key that is repeated very often is no task's burden
+    first = batch.groupBy("idempotency_key").agg(F.min("seq").alias("_first"))
+    fresh_keys = first.join(known.select("idempotency_key"), "idempotency_key", "left_anti").withColumn("_unknown", F.lit(True))
+    marked = batch.join(fresh_keys, "idempotency_key", "left").withColumn("_new", F.coalesce(F.col("_unknown") & (F.col("seq") == F.col("_first")), F.lit(False)))
     fresh = numbered(marked.where("_new"), [F.col("seq")], max_id + 1)
     done = fresh.withColumn("duplicate", F.lit(False))
     again = marked.where("not _new").withColumn("id", F.lit(0).cast("long")).withColumn("duplicate", F.lit(True))
-    return done.unionByName(again).drop("_first", "_known", "_new")
+    return done.unionByName(again).drop("_first", "_unknown", "_new")
 
 
 def key_history(log: DataFrame, key: str, limit: int) -> DataFrame:
