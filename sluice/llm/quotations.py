@@ -119,3 +119,29 @@ def chats(ordered: DataFrame, template: str = "<|%s|>\n%s\n") -> DataFrame:
     parts = ordered.select("conv_id", (F.floor(F.col("position") / SEGMENT)).alias("segment"), "position", said.alias("said"))
     chat = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "said"))), lambda x: x["said"]), "")
     return parts.groupBy("conv_id", "segment").agg(F.count("*").alias("n_messages"), chat.alias("chat"))
+
+
+ORACLE = r"""
+WITH lines AS (SELECT conv_id, turn, text, u.place AS place, u.line AS line, regexp_extract(u.line, '^[ \t]*>(?:[ \t]*>)*') AS marks
+    FROM conversations, LATERAL (SELECT unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line, unnest(range(1, 1 + len(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))))) AS place) u),
+ leveled AS (SELECT *, len(regexp_replace(marks, '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*>(?:[ \t]*>)*[ \t]?', '') AS body FROM lines),
+ quoting AS (SELECT DISTINCT conv_id, turn FROM leveled WHERE level > 0),
+ islands AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY place) AS passage FROM
+    (SELECT l.*, CASE WHEN lag(level) OVER (PARTITION BY l.conv_id, l.turn ORDER BY l.place) = level THEN 0 ELSE 1 END AS fresh FROM leveled l SEMI JOIN quoting q ON l.conv_id = q.conv_id AND l.turn = q.turn)),
+ passages AS (SELECT conv_id, turn, passage, level, string_agg(body, chr(10) ORDER BY place) AS body FROM islands WHERE level > 0 GROUP BY ALL),
+ plain AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE level = 0 AND NOT (announces AND coalesce(next_level, 0) > 0)), ''), '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g') AS own FROM
+    (SELECT *, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY place) AS next_level, regexp_matches(line, '(?i)^(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió) ?:\s*$') AS announces FROM leveled) GROUP BY conv_id, turn),
+ shown AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN q.turn IS NULL THEN c.text ELSE p.own END AS text FROM conversations c LEFT JOIN quoting q ON q.conv_id = c.conv_id AND q.turn = c.turn LEFT JOIN plain p ON p.conv_id = c.conv_id AND p.turn = c.turn),
+ said AS (SELECT conv_id, turn, norm FROM (SELECT conv_id, turn, kind, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM
+    (SELECT conv_id, turn, 2 AS kind, text AS part FROM shown UNION ALL SELECT conv_id, turn, 1, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM shown UNION ALL SELECT conv_id, turn, 0, unnest(string_split(text, chr(10))) FROM shown)
+    WHERE conv_id IN (SELECT conv_id FROM quoting)) WHERE norm <> '' AND (kind = 2 OR len(string_split(norm, ' ')) >= 3)),
+ first_said AS (SELECT conv_id, norm, min(turn) AS said FROM said GROUP BY ALL),
+ asked AS (SELECT conv_id, turn, passage, level, kind, norm FROM (SELECT conv_id, turn, passage, level, kind, trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM
+    (SELECT conv_id, turn, passage, level, 2 AS kind, body AS part FROM passages UNION ALL SELECT conv_id, turn, passage, level, 1, unnest(regexp_split_to_array(body, '\n[ \t]*\n')) FROM passages UNION ALL SELECT conv_id, turn, passage, level, 0, unnest(string_split(body, chr(10))) FROM passages))
+    WHERE norm <> '' AND (kind = 2 OR len(string_split(norm, ' ')) >= 3)),
+ found AS (SELECT a.*, f.said, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY level, kind DESC, said DESC) AS rn FROM asked a JOIN first_said f ON f.conv_id = a.conv_id AND f.norm = a.norm AND f.said < a.turn),
+ best AS (SELECT conv_id, turn, min(said) FILTER (WHERE rn = 1) AS reply_to, count(DISTINCT passage) AS n_linked FROM found GROUP BY ALL),
+ quotes AS (SELECT conv_id, turn, count(*) AS n_quotes FROM passages GROUP BY ALL)
+SELECT s.conv_id, s.turn, s.role, row_number() OVER (PARTITION BY s.conv_id ORDER BY coalesce(b.reply_to, s.turn - 1), s.turn) - 1 AS position, b.reply_to, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, s.text
+FROM shown s LEFT JOIN best b ON b.conv_id = s.conv_id AND b.turn = s.turn LEFT JOIN quotes q ON q.conv_id = s.conv_id AND q.turn = s.turn
+"""

@@ -131,3 +131,26 @@ def test_given_conversations_keep_their_turns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = quotations.reply_ordered(df)
     assert got.where("position <> turn").count() == 0 and got.count() == df.count()
+
+
+def test_the_sql_agrees_on_made_quotations(spark):
+    import random
+
+    import duckdb
+
+    rng = random.Random(3)
+    said = [f"Message {i}, says: {rng.randrange(99)} and more words!\n\nSecond paragraph of {i} here." for i in range(40)]
+    rows = [r for r in ROWS if r[0] in (1, 2)]
+    for i in range(40):
+        quote = "".join("> " * rng.randint(1, 2) + x + "\n" for x in rng.choice(said[: i + 1]).split("\n")) if i % 3 else ""
+        rows.append((9, i, "user", quote + rng.choice(["On x y wrote:\n", ""]) + said[i] + rng.choice(["", "\n\n", "\n> tail that nobody said"])))
+    df = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    cur = con.execute(quotations.ORACLE)
+    names = [d[0] for d in cur.description]
+    want = sorted(tuple(r[names.index(c)] for c in sorted(names)) for r in cur.fetchall())
+    got = quotations.reply_ordered(df)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in sorted(names)) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert sum(r[sorted(names).index("n_linked")] for r in want) > 15
