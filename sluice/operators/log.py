@@ -39,6 +39,19 @@ def append_plan(batch: DataFrame, known: DataFrame, max_id: int) -> DataFrame:
     return done.unionByName(again).drop("_first", "_unknown", "_new")
 
 
+def validated(batch: DataFrame) -> DataFrame:
+    """The batch with ``rejected``: why a row can't be appended, null where it can.
+
+    One bad row costs that row: producers append the others and report it.
+    """
+    no_key = F.col("message_key").isNull() | (F.col("message_key") == "")
+    compact = F.col("compaction_rank").isNotNull()
+    reason = F.when(F.coalesce(F.col("schema_version"), F.lit(0)) < 1, "schema version below 1").when(~F.col("concurrency").isin("parallel", "exclusive", "ordered"), "unknown concurrency")
+    reason = reason.when((F.col("concurrency") != "parallel") & no_key, "concurrency without key").when(compact & (F.col("concurrency") == "ordered"), "ordered and compacted").when(compact & no_key, "rank without key")
+    bad_json = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+    return batch.withColumn("rejected", reason.when(bad_json, "payload is not JSON"))
+
+
 def key_history(log: DataFrame, key: str, limit: int) -> DataFrame:
     """Newest messages of a key."""
     return log.where(F.col("message_key") == key).orderBy(F.desc("id")).limit(limit)

@@ -55,6 +55,39 @@ def group_gauges(snapshot: DataFrame, names: DataFrame, stream: str, at: Column)
     return gauges(n, GROUP_GAUGES, F.create_map(F.lit("stream"), F.lit(stream), F.lit("group"), F.col("group")), at)
 
 
+def session_counters(outcomes: DataFrame, attributes: Column, at: Column) -> DataFrame:
+    """Counters of a consumer session from its outcomes: what was claimed, and where each message went."""
+    n = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    one = outcomes.agg(F.count("*").alias("claimed"), n("success").alias("success"), n("superseded").alias("superseded"), n("exception", "delayed").alias("ready"), n("deferred").alias("deferred"), n("terminal").alias("dead"))
+    return gauges(one, {c: f"consumer.session.{c}" for c in one.columns}, attributes, at)
+
+
+def worker_gauges(workers: DataFrame, at: Column) -> DataFrame:
+    """System gauges of a worker snapshot."""
+    is_ = lambda s: F.count_if(F.col("state") == s)
+    one = workers.agg(is_("unclaimed").alias("a"), (F.max("unclaimed_us") / 1000).cast("long").alias("b"), is_("failing").alias("c"))
+    return gauges(one, {"a": "worker.state.unclaimed_workers", "b": "worker.state.oldest_unclaimed_age", "c": "worker.state.failing_workers"}, F.lit(None).cast("map<string,string>"), at)
+
+
+def schedule_gauges(schedules: DataFrame, at: Column) -> DataFrame:
+    """System gauges of a schedule snapshot."""
+    due = ~F.col("suspended") & (F.col("overdue_s") > 0)
+    one = schedules.agg(F.count_if("overdue").alias("a"), F.max(F.when(due, F.col("overdue_s") * 1000)).alias("b"), F.count_if("suspended").alias("c"))
+    return gauges(one, {"a": "schedule.state.overdue", "b": "schedule.state.oldest_due_age", "c": "schedule.state.suspended"}, F.lit(None).cast("map<string,string>"), at)
+
+
+def alert_gauges(heads: DataFrame, at: Column) -> DataFrame:
+    """Active and resolved alerts, by their latest publication."""
+    one = heads.agg(F.count_if(F.col("status") == "active").alias("a"), F.count_if(F.col("status") == "resolved").alias("b"))
+    return gauges(one, {"a": "alert.state.active_alerts", "b": "alert.state.resolved_alerts"}, F.lit(None).cast("map<string,string>"), at)
+
+
+def stream_gauges(snapshot: DataFrame, stream: str, unclaimed: int, at: Column) -> DataFrame:
+    """Gauges of one stream's snapshot row."""
+    one = snapshot.select("partitions", F.col("compacted").cast("int").alias("compacted"), F.lit(unclaimed).alias("unclaimed"))
+    return gauges(one, {"partitions": "stream.state.partitions", "compacted": "stream.state.compacted", "unclaimed": "stream.workers.unclaimed"}, F.create_map(F.lit("stream"), F.lit(stream)), at)
+
+
 def keyed(measurements: DataFrame) -> DataFrame:
     return measurements.withColumn("message_key", measurement_key(F.col("name"), F.col("attributes")))
 

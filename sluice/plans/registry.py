@@ -400,6 +400,17 @@ def _(t):
     return control.open_waiters(t.binding_config_log).withColumn("patterns", F.array_join("patterns", ","))
 
 
+@query(
+    "o31_batch_rejections",
+    """SELECT id, CASE WHEN id % 31 = 0 THEN 'schema version below 1' WHEN concurrency <> 'parallel' AND message_key IS NULL THEN 'concurrency without key' WHEN concurrency = 'ordered' AND compaction_rank IS NOT NULL THEN 'ordered and compacted'
+         WHEN id % 37 = 0 THEN 'payload is not JSON' END AS rejected FROM message_log""",
+)
+def _(t):
+    k = F.col("id")
+    batch = t.message_log.withColumn("schema_version", F.when(k % 31 == 0, 0).otherwise(F.col("schema_version"))).withColumn("payload", F.when(k % 37 == 0, "{").otherwise(F.col("payload")))
+    return log.validated(batch).select("id", "rejected")
+
+
 # retention
 
 _PARTS = f"SELECT id // {PARTITION} AS part, min(id) AS first_id, max(id) AS last_id, count(*) AS rows, arg_min(created_at, id) AS oldest_at, arg_max(created_at, id) AS newest_at FROM message_log GROUP BY 1"
@@ -578,6 +589,56 @@ def _(t):
     return metrics.group_gauges(_groups(t), t.consumer_group_config, "orders", now()).select("name", "value", "message_key")
 
 
+_NAMED = "SELECT name, CAST(value AS DOUBLE) AS value, name || coalesce('|' || attrs, '') AS message_key FROM v WHERE value IS NOT NULL"
+
+
+@query(
+    "o22_session_counters",
+    f"""WITH o AS ({_OUTCOMES}), v AS (SELECT 'consumer.session.' || n AS name, c AS value, 'group=billing,session=s1,stream=orders,version=1' AS attrs FROM (
+        SELECT 'claimed' AS n, count(*) AS c FROM o UNION ALL SELECT 'success', count(*) FILTER (WHERE outcome = 'success') FROM o UNION ALL SELECT 'superseded', count(*) FILTER (WHERE outcome = 'superseded') FROM o
+        UNION ALL SELECT 'ready', count(*) FILTER (WHERE outcome IN ('exception', 'delayed')) FROM o UNION ALL SELECT 'deferred', count(*) FILTER (WHERE outcome = 'deferred') FROM o UNION ALL SELECT 'dead', count(*) FILTER (WHERE outcome = 'terminal') FROM o)) {_NAMED}""",
+)
+def _(t):
+    attributes = F.create_map(*[F.lit(x) for x in ("stream", "orders", "group", "billing", "version", "1", "session", "s1")])
+    return metrics.session_counters(_outcomes(t), attributes, now()).select("name", "value", "message_key")
+
+
+@query(
+    "o22_worker_gauges",
+    f"""WITH w AS ({_WORKERS}), x AS (SELECT *, CASE WHEN target_instances = 0 THEN 'suspended' WHEN attempts > 0 THEN 'failing' WHEN live > 0 THEN 'claimed' ELSE 'unclaimed' END AS state FROM w),
+        v AS (SELECT 'worker.state.unclaimed_workers' AS name, count(*) FILTER (WHERE state = 'unclaimed') AS value, NULL AS attrs FROM x UNION ALL SELECT 'worker.state.oldest_unclaimed_age', (epoch_us(NOW()) - min(last_us) FILTER (WHERE state = 'unclaimed')) // 1000, NULL FROM x
+          UNION ALL SELECT 'worker.state.failing_workers', count(*) FILTER (WHERE state = 'failing'), NULL FROM x) {_NAMED}""",
+)
+def _(t):
+    w = snapshots.workers(t.worker_config, t.worker_instance, t.stream_config, t.consumer_group_config, now())
+    return metrics.worker_gauges(w, now()).select("name", "value", "message_key")
+
+
+@query(
+    "o22_schedule_gauges",
+    f"""WITH x AS (SELECT suspended, (epoch_us(NOW()) - epoch_us(next_at)) // 1000000 AS late FROM schedule_config c JOIN schedule_cursor r ON r.schedule_id = c.id),
+        v AS (SELECT 'schedule.state.overdue' AS name, count(*) FILTER (WHERE NOT suspended AND late > 600) AS value, NULL AS attrs FROM x UNION ALL SELECT 'schedule.state.oldest_due_age', max(late * 1000) FILTER (WHERE NOT suspended AND late > 0), NULL FROM x
+          UNION ALL SELECT 'schedule.state.suspended', count(*) FILTER (WHERE suspended), NULL FROM x) {_NAMED}""",
+)
+def _(t):
+    s = snapshots.schedules(t.schedule_config, t.schedule_cursor, t.stream_config, now())
+    return metrics.schedule_gauges(s, now()).select("name", "value", "message_key")
+
+
+@query("o22_alert_gauges", f"WITH v AS (SELECT 'alert.state.' || status || '_alerts' AS name, count(*) AS value, NULL AS attrs FROM alert_head GROUP BY status) {_NAMED}")
+def _(t):
+    return metrics.alert_gauges(t.alert_head, now()).select("name", "value", "message_key")
+
+
+@query(
+    "o22_stream_gauges",
+    f"""WITH v AS (SELECT 'stream.state.partitions' AS name, (SELECT count(DISTINCT id // {PARTITION}) FROM message_log) AS value, 'stream=orders' AS attrs UNION ALL SELECT 'stream.state.compacted', (SELECT CAST(count(*) > 0 AS INTEGER) FROM compaction_head), 'stream=orders'
+        UNION ALL SELECT 'stream.workers.unclaimed', 7, 'stream=orders') {_NAMED}""",
+)
+def _(t):
+    return metrics.stream_gauges(snapshots.stream(t.message_log, t.compaction_head, PARTITION, now()), "orders", 7, now()).select("name", "value", "message_key")
+
+
 @query(
     "o23_latest_series",
     "SELECT message_key, name, kind, unit, value, epoch_us(seen) AS at_us FROM (SELECT *, row_number() OVER (PARTITION BY message_key ORDER BY seen DESC, id DESC) AS rn FROM measurement) WHERE rn = 1",
