@@ -121,6 +121,28 @@ class System:
     def metrics(self) -> Metrics:
         return Metrics(self.measurements(), self.client)
 
+    def collect(self) -> int:
+        """One collection pass: gauges of workers, schedules, streams and groups, then the completion time; the number written.
+
+        Groups of the metrics stream itself are left out.  A pass has a value per metric and
+        owner, so it is gathered and appended as one batch.
+        """
+        c, at = self.client, F.lit(self.client.now())
+        streams, groups = c.table("stream_config"), c.table("consumer_group_config")
+        workers = snapshots.workers(c.table("worker_config"), c.table("worker_instance"), streams, groups, at)
+        found = [metrics.worker_gauges(workers, at), metrics.schedule_gauges(snapshots.schedules(c.table("schedule_config"), c.table("schedule_cursor"), streams, at), at)]
+        for r in streams.select("name").toLocalIterator():
+            s = c.stream(r["name"])
+            unclaimed = workers.where((F.col("stream") == s.name) & (F.col("state") == "unclaimed")).count()
+            found.append(metrics.stream_gauges(s.metrics(), s.name, unclaimed, at))
+            if s.name != "__system.metrics":
+                found += [metrics.group_gauges(s.consumer(g["name"]).metrics(), groups, s.name, at) for g in s.consumers().toLocalIterator()]
+        known = {name: (kind, unit) for name, kind, unit, _ in metrics.definitions()}
+        rows = [{"name": m["name"], "kind": known[m["name"]][0], "unit": known[m["name"]][1], "value": m["value"], "attributes": dict(m["attributes"] or {})} for df in found for m in df.toLocalIterator()]
+        done = {"name": "metrics.collector.completed_timestamp", "kind": "gauge", "unit": "s", "value": c.now().timestamp(), "attributes": {}}
+        self.produce_measurements([*rows, done])
+        return len(rows) + 1
+
     def alerts(self) -> DataFrame:
         """The latest alert of each name and owner."""
         s = Stream(self.client, "__system.alerts")

@@ -112,6 +112,15 @@ def test_system_metrics(client):
     assert 'app_lag{group="a"} 5.0' in m.exposition()
     with pytest.raises(ValueError):
         client.system.produce_measurements([{"name": "x", "kind": "gauge", "value": 1.0, "unit": "{a"}])
+    client.stream("orders").register(StreamConfig(partition_size=10))
+    client.stream("orders").consumer("billing").register()
+    client.stream("orders").produce([{"payload": "1"}])
+    n = client.system.collect()
+    now = {r.message_key: r.value for r in client.system.metrics().latest().collect()}
+    assert n == len(now) - 2 and now["consumer.cursor.backlog|group=billing,stream=orders"] == 1 and now["stream.state.partitions|stream=orders"] == 1
+    assert now["metrics.collector.completed_timestamp"] == client.now().timestamp() and now["worker.state.unclaimed_workers"] == 0
+    assert code(client.system.destroy) == "SQL0011"
+    client.stream("orders").destroy(force=True)
     client.system.destroy()
 
 
