@@ -95,19 +95,15 @@ class Model:
         return self.languages[best], float(min(1.0, p[best] / p.sum()))
 
 
-def _logs(rows: list, languages: list[str], totals: dict[str, int], first: int) -> tuple[dict[str, int], np.ndarray]:
+def _logs(counted: pa.Table, languages: list[str], totals: dict[str, int], first: int) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies, each mixed with a tenth of the mean over languages so that none is zero.
 
     They are centred: an item equally frequent everywhere scores 0.
     """
-    place = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((len(rows), len(languages)))
-    for k, r in enumerate(rows):
-        for lang, n in r["by"].items():
-            counts[k, place[lang]] += n
+    counts = np.column_stack([counted.column(f"n{k}").to_numpy() for k in range(len(languages))]).astype(float) if languages else np.zeros((0, 0))
     rates = counts / np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
-    logs = np.log(0.9 * rates + 0.1 * rates.mean(axis=1, keepdims=True))
-    return {r["item"]: first + k for k, r in enumerate(rows)}, logs - logs.mean(axis=1, keepdims=True)
+    logs = np.log(0.9 * rates + 0.1 * rates.mean(axis=1, keepdims=True)) if languages else rates
+    return {item: first + k for k, item in enumerate(counted.column("item").to_pylist())}, logs - logs.mean(axis=1, keepdims=True) if languages else logs
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_words: int = MAX_WORDS, max_ngrams: int = MAX_NGRAMS) -> Model:
@@ -125,9 +121,10 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_words: int
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     languages = sorted(totals)
 
-    def frequent(counts: DataFrame, limit: int) -> list:
-        by = counts.groupBy("item").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-        return by.where("n > 1").orderBy(F.desc("n"), "item").limit(limit).collect()
+    def frequent(counts: DataFrame, limit: int) -> pa.Table:
+        """The most frequent items and a column of counts for each language, in Arrow's form."""
+        by = counts.groupBy("item").agg(F.sum("count").alias("n"), *[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(languages)])
+        return by.where("n > 1").orderBy(F.desc("n"), "item").limit(limit).drop("n").toArrow()
 
     known, table = _logs(frequent(words, max_words), languages, totals, 0)
     marked = F.concat(F.lit("<"), "item", F.lit(">"))
