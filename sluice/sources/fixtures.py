@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The instant at which all time-dependent queries are asked.
 NOW = "2024-01-31 00:00:00"
@@ -78,7 +79,10 @@ class Tables:
         return kept.union(empty)
 
     def values(self, ddl: str, *rows: tuple) -> DataFrame:
-        return self.spark.createDataFrame(list(rows), ddl)
+        """A few literal rows, inlined so that the planner knows how few they are."""
+        fields = StructType.fromDDL(ddl)
+        made = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row, strict=True)]) for row in rows]
+        return self.spark.range(1).select(F.inline(F.array(*made)))
 
     @cached_property
     def binding_config(self) -> DataFrame:

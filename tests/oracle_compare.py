@@ -56,7 +56,7 @@ if __name__ == "__main__":
     from sluice.session import session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con, oracles = session(cpus=4, memory="6g"), connect(sf), e.oracle_sql()
+    spark, con, oracles = session(cpus=int(os.environ.get("BENCH_CPUS", "4")), memory="6g"), connect(sf), e.oracle_sql()
     bad = 0
     for name, q in e.queries().items():
         if name in oracles and (len(sys.argv) < 3 or name in sys.argv[2:]):
