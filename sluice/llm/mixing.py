@@ -167,11 +167,12 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 4
     )
     sources = written(targets(sized, block_words), "mix-sources")
     pieces = drawn(offsets(sized), sources, block_words, shard_slots, seed)
-    kept = pieces.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("pieces"), F.sum(F.col("high") - F.col("low")).alias("words"))
-    out = rowed.join(kept, rowed["_mix_row"] == kept["row"])
+    span = F.col("high") - F.col("low")
+    kept = pieces.groupBy(F.col("row").alias("_mix_at"), F.col("epoch").alias("_mix_epoch")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_mix_pieces"), F.sum(span).alias("_mix_taken"))
+    out = rowed.join(kept, F.col("_mix_row") == F.col("_mix_at"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    out = out.withColumn("_mix_words", F.when(F.col("words") < F.regexp_count("text", F.lit(WORD)), words))
-    part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice("_mix_words", p["low"].cast("int") + 1, (p["high"] - p["low"]).cast("int")))), " ")
+    out = out.withColumn("_mix_words", F.when(F.col("_mix_taken") < F.regexp_count("text", F.lit(WORD)), words))
+    part = F.array_join(F.flatten(F.transform("_mix_pieces", lambda p: F.slice("_mix_words", p["low"].cast("int") + 1, (p["high"] - p["low"]).cast("int")))), " ")
     out = out.withColumn("text", F.when(F.col("_mix_words").isNull(), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

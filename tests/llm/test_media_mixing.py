@@ -138,7 +138,7 @@ def test_mix(spark):
 
 
 def test_mixed_documents_hold_the_taken_words(spark):
-    docs = spark.createDataFrame([(i, t, s, -1) for i, t, s in mix_rows() if i is not None and i != 5], "doc_id long, text string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, s, -1, 7, "x", "y") for i, t, s in mix_rows() if i is not None and i != 5], "doc_id long, text string, source string, n_chars long, row int, words string, epoch string")
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
     out = mixing.mixed_documents(docs).collect()
     words = dict.fromkeys(taken, 0)
