@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from sluice.session import session
 
-    s = session("tests", cpus=8, memory="6g", **{"spark.sql.shuffle.partitions": "8"})
+    s = session("tests", cpus=int(os.environ.get("TEST_CPUS", "8")), memory="6g", **{"spark.sql.shuffle.partitions": "8"})
     yield s
     s.stop()
