@@ -159,5 +159,15 @@ def test_near_copies_are_dropped(spark):
 def test_components_of_a_long_chain(spark):
     n = 200
     edges = spark.createDataFrame([(i, i + 1) for i in range(n) if i != 120], "u long, v long")
-    got = {r.node: r.label for r in near_dedup.components(edges).collect()}
-    assert got == {i: 0 if i <= 120 else 121 for i in range(n + 1) if i not in (0, 121)}
+    for task_edges in (0, 1000):  # over the cluster, and in one task
+        got = {r.node: r.label for r in near_dedup.components(edges, task_edges).collect()}
+        assert got == {i: 0 if i <= 120 else 121 for i in range(n + 1) if i not in (0, 121)}
+    assert near_dedup.components(edges.where("false")).count() == 0
+
+
+def test_both_ways_of_joining_components_agree(spark, monkeypatch):
+    rows = near_rows(96, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = sorted(map(str, near_dedup.near_dedup(docs).collect()))
+    monkeypatch.setattr(near_dedup.components, "__defaults__", (0,))
+    assert sorted(map(str, near_dedup.near_dedup(docs).collect())) == small
