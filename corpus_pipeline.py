@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but one document of each group of near copies."""
-    return near_dedup.without_near_copies(docs)
+    """Drops all but one document of each group of near copies (similarity 0.80 or more)."""
+    return near_dedup.without_near_copies(docs, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
 at least ``percent``/100.  Candidate search uses two small collections of ``SIDE`` hash
 groups of two minhashes each; a table of the index is a *pair* of groups, one from each
 collection, so 2 * 2 * 8 = 32 minhashes form 64 tables of four minhashes.  A pair of
-similarity 0.85 misses all tables with probability (1 - (1 - (1 - 0.85**2)**8)**2) < 1e-4.
+similarity 0.85 misses all tables with probability 1 - (1 - (1 - 0.85**2)**8)**2 < 1e-4, one
+of similarity 0.80 with probability 6e-4.
 
 Equal sets are one node from the start.  Nodes that share a table key are then linked in
 rounds, and every link is confirmed on the full sets:
@@ -15,13 +16,15 @@ rounds, and every link is confirmed on the full sets:
 * every remaining pair across components that shares a table key, whatever its number.
 
 Copies inside one component are never expanded into pairs, and no pair across components
-is left out but those whose 32 four-bit sketches differ in more than ``MISMATCHES``
+is left out but those whose 32 four-bit sketches differ in more than ``allowed_mismatches``
 places (below 1e-6 of the pairs at the threshold).  Components are found by alternating
 star contractions over written tables; nothing is collected.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,6 @@ from .shingles import mix, shingle_sets, slices
 SIDE = 8
 PER_GROUP = 2
 HASHES = 2 * SIDE * PER_GROUP
-MISMATCHES = 16
 CLOSEST = 4
 #: Candidate ids that are broadcast at most (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -109,6 +111,16 @@ def mismatches(*pairs: tuple[Column, Column]) -> Column:
     return total
 
 
+def allowed_mismatches(percent: int) -> int:
+    """Places in which sketches may differ: more have a probability below 1e-6 at the threshold (16 for 85, 18 for 80)."""
+    p, tail = (1 - percent / 100) * 15 / 16, 0.0
+    for k in range(HASHES, 0, -1):
+        tail += math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
+        if tail >= 1e-6:
+            return k
+    return 0
+
+
 #: Edges (at most 80 MB of them) that one executor task joins by union-find; beyond, stars are contracted over the cluster.
 TASK_EDGES = 200_000
 
@@ -193,7 +205,7 @@ class Linker:
         """Whether sizes and sketches of two nodes leave room for a link."""
         a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
         sizes = 100 * F.least(a("n"), b("n")) >= self.percent * F.greatest(a("n"), b("n"))
-        return sizes & (mismatches((a("x1"), b("x1")), (a("x2"), b("x2"))) <= MISMATCHES)
+        return sizes & (mismatches((a("x1"), b("x1")), (a("x2"), b("x2"))) <= allowed_mismatches(self.percent))
 
     def link(self, pairs: DataFrame) -> None:
         """Confirm pairs ``(u, v)`` on the full sets and join their components."""

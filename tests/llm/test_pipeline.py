@@ -30,3 +30,15 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_near_stage_drops_pairs_from_0_80_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = []
+    for i in range(40):  # 100 shingles, of which a changed word at the end, or two, take away 5 to 12: similarities 0.77 to 0.91
+        words = [f"w{i}x{k}" for k in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[: 104 - (5 + i % 8)], *(f"v{i}x{k}" for k in range(5 + i % 8))]))]
+    made = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], docs.schema)
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, made, None).collect()}
+    assert got == {i for (i, _), (_, k) in zip(rows, brute_near(rows, 80), strict=True) if i == k}
+    assert got != {i for (i, _), (_, k) in zip(rows, brute_near(rows, 85), strict=True) if i == k}
