@@ -2,32 +2,38 @@
 
 The text view sees what is in a document (character classes, repetition of words and
 lines, word lengths); the metadata view sees what is known about it (source, language,
-stated length).  Both are logistic regressions.  In each round every view labels the
-unlabelled documents of which it is surest, and hands them to the *other* view; a view
+stated length).  Both are logistic regressions.  In each round every view labels all
+unlabelled documents of which it is sure, and hands them to the *other* view; a view
 that is never sure enough hands over nothing.  At the end each view is calibrated on
 labelled documents that took no part in training, and the calibrated log odds are added.
 
-Fitting reads a bounded sample: at most ``MAX_LABELLED`` labelled and ``MAX_POOL``
-unlabelled documents, by the smallest keyed hashes of their ids.  Scoring reads all
-documents whole, in one pass, with the two weight vectors.
+Fitting reads a bounded sample of the labelled documents, at most ``MAX_LABELLED`` by
+keyed hashes of their ids, and *all* other documents: their features are written once,
+and each Newton step is one pass over them that returns gradients and Hessians.  What a
+document was taught follows from the views of the rounds so far, so no state is kept.
+Scoring reads all documents whole, in one pass, with the two weight vectors.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import dropped, written
 from .shingles import slices, word_hashes
 
 MAX_LABELLED = 8192
-MAX_POOL = 8192
 ROUNDS = 4
-PER_ROUND = 512
+STEPS = 40
 CONFIDENT = 0.95
+#: Most that a taught document weighs, and all taught ones of a side together for each labelled one of it.
+TAUGHT_WEIGHT = 0.5
 SOURCES = 64
 LANGUAGES = 16
 
@@ -74,40 +80,67 @@ def text_features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Hashed source and language (with a place for null), and the stated length."""
+def meta_codes(source: list, lang: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashed source and language, 0 for null."""
+
+    def places(values: list, size: int) -> np.ndarray:
+        return np.array([zlib.crc32(v.encode()) % (size - 1) + 1 if v is not None else 0 for v in values], dtype=np.int32)
+
+    return places(source, SOURCES), places(lang, LANGUAGES)
+
+
+def meta_matrix(source: np.ndarray, lang: np.ndarray, n_chars: list) -> np.ndarray:
     k = len(source)
     out = np.zeros((k, META_FEATURES))
-    for i in range(k):
-        out[i, zlib.crc32(source[i].encode()) % (SOURCES - 1) + 1 if source[i] is not None else 0] = 1
-        out[i, SOURCES + (zlib.crc32(lang[i].encode()) % (LANGUAGES - 1) + 1 if lang[i] is not None else 0)] = 1
-        n = n_chars[i]
-        length = np.log1p(max(0, n)) if n is not None else 0.0
-        out[i, SOURCES + LANGUAGES :] = n is None, length, length**2 / 10, length < 5
+    out[np.arange(k), source] = 1
+    out[np.arange(k), SOURCES + lang] = 1
+    none = np.array([n is None for n in n_chars], dtype=bool)
+    length = np.log1p(np.array([max(0, n) if n is not None else 0 for n in n_chars], dtype=float))
+    out[:, SOURCES + LANGUAGES :] = np.column_stack([none, length, length**2 / 10, length < 5])
     return out
 
 
+def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
+    """Hashed source and language (with a place for null), and the stated length."""
+    return meta_matrix(*meta_codes(source, lang), n_chars)
+
+
 class Logistic:
-    """Logistic regression on standardised features, by Newton steps with a ridge."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 12):
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
-        self.scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(x.shape[1])
-        z = self._z(x)
-        c = np.ones(len(x)) if weight is None else weight
-        self.w = np.zeros(z.shape[1])
-        for _ in range(steps if len(x) else 0):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            g = z.T @ (c * (p - y)) + ridge * self.w
-            h = (z * (c * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + ridge * np.eye(z.shape[1])
-            self.w -= np.linalg.solve(h, g)
-
-    def _z(self, x: np.ndarray) -> np.ndarray:
+    """Logistic regression on standardised features, by Newton steps with a ridge, halved where the loss would rise."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, scaling: tuple[np.ndarray, np.ndarray] | None = None):
+        if scaling is None:
+            scaling = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        (self.mean, self.scale), self.ridge = scaling, ridge
+        self.w, self.loss = np.zeros(x.shape[1] + 1), np.inf
+        z = self.z(x)
+        for _ in range(STEPS if len(x) else 0):
+            if self.step(*self.sums(z, y)) < 1e-6:
+                break
+
+    def z(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.column_stack([np.ones(len(x)), z])
 
+    def sums(self, z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and Hessian over some rows."""
+        o = z @ self.w
+        p = _sigmoid(o)
+        return float((np.logaddexp(0, o) - y * o).sum()), z.T @ (p - y), (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+
+    def step(self, loss: float, gradient: np.ndarray, hessian: np.ndarray) -> float:
+        """Go on from the sums over all rows at ``w``; returns how far it went."""
+        loss += self.ridge / 2 * float(self.w @ self.w)
+        if loss > self.loss + 1e-9 * abs(loss):
+            self.d = self.d / 2
+        else:
+            self.at, self.loss = self.w, loss
+            self.d = np.linalg.solve(hessian + self.ridge * np.eye(len(self.w)), gradient + self.ridge * self.w)
+        self.w = self.at - self.d
+        return float(np.abs(self.d).max())
+
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self._z(x) @ self.w, -30, 30)
+        return np.clip(self.z(x) @ self.w, -30, 30)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -126,39 +159,79 @@ class CoTrained:
         return [*map(_sigmoid, odds), _sigmoid(odds[0] + odds[1] - self.prior)]
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained:
+def lessons(history: list[list[np.ndarray]], z: list[np.ndarray]) -> list[np.ndarray]:
+    """What each view has been taught about documents: 0, 1, or NaN for nothing.
+
+    ``history`` has both views' weights of each round; the first sure verdict of the other view stands.
+    """
+    out = []
+    for v in (0, 1):
+        label = np.full(len(z[v]), np.nan)
+        for weights in history:
+            p = _sigmoid(z[1 - v] @ weights[1 - v])
+            sure = np.isnan(label) & (np.maximum(p, 1 - p) >= CONFIDENT)
+            label[sure] = p[sure] > 0.5
+        out.append(label)
+    return out
+
+
+def taught_sums(history: list[list[np.ndarray]], views: list[Logistic], x: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view and each side (bad, good): rows taught, loss, gradient and Hessian, as one vector."""
+    z = [view.z(part) for view, part in zip(views, x, strict=True)]
+    out = []
+    for view, part, label in zip(views, z, lessons(history, z), strict=True):
+        for side in (0, 1):
+            rows = part[label == side]
+            loss, g, h = view.sums(rows, np.full(len(rows), float(side)))
+            out.append(np.concatenate([[len(rows), loss], g, h.ravel()]))
+    return out
+
+
+def moments(x: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view: rows, sums and sums of squares of the features, as one vector."""
+    return [np.concatenate([[len(part)], part.sum(axis=0), (part**2).sum(axis=0)]) for part in x]
+
+
+def co_train(x: list[np.ndarray], y: np.ndarray, pool: Callable, rounds: int = ROUNDS) -> CoTrained:
     """Fit on two views of labelled documents and of a pool of unlabelled ones.
 
+    ``pool(f)`` is the sum of ``f([text features, metadata features])`` over parts of the pool.
     Every fourth labelled document is kept for calibration.
     """
     apart = np.arange(len(y)) % 4 == 3
-    train, prior = ~apart, 0.0
+    train, prior, share = ~apart, 0.0, 0.5
     if len(y):
-        p = np.clip(y.mean(), 0.01, 0.99)
+        share = float(y.mean())
+        p = np.clip(share, 0.01, 0.99)
         prior = float(np.log(p / (1 - p)))
-    seen = [[x[v][train]] for v in (0, 1)]
-    labels = [[y[train]] for _ in (0, 1)]
-    free = [np.ones(len(pool[0]), dtype=bool) for _ in (0, 1)]  # documents that the view has not been taught
-    views = [Logistic(seen[v][0], labels[v][0]) for v in (0, 1)]
+    seen, labels = [x[v][train] for v in (0, 1)], y[train]
+    scaling: list = [None, None]
+    if len(y):
+        for v, total in enumerate(a + b for a, b in zip(moments(seen), pool(moments), strict=True)):
+            mean, square = total[1:].reshape(2, -1) / total[0]
+            scaling[v] = mean, np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-6)
+    views = [Logistic(seen[v], labels, scaling=scaling[v]) for v in (0, 1)]
+    z = [views[v].z(seen[v]) for v in (0, 1)]
+    history, taught = [], [0, 0]
     for _ in range(rounds if len(y) else 0):
-        lessons = []
-        for v in (0, 1):
-            p = _sigmoid(views[v].odds(pool[v]))
-            sure = np.flatnonzero((np.maximum(p, 1 - p) >= CONFIDENT) & free[1 - v])
-            good = float(y.mean())
-            best = []
-            for side, share in ((p, good), (1 - p, 1 - good)):  # in the proportion of the labels
-                mine = sure[side[sure] >= CONFIDENT]
-                best.append(mine[np.argsort(-side[mine], kind="stable")][: max(1, int(per_round * share))])
-            lessons.append((np.concatenate(best), p))
-        for v, (rows, p) in enumerate(lessons):
-            free[1 - v][rows] = False
-            seen[1 - v].append(pool[1 - v][rows])
-            labels[1 - v].append((p[rows] > 0.5).astype(float))
-        views = [Logistic(np.concatenate(seen[v]), np.concatenate(labels[v]), np.concatenate([np.full(len(part), 1.0 if i == 0 else 0.5) for i, part in enumerate(labels[v])])) for v in (0, 1)]
+        history.append([view.w for view in views])
+        for view in views:
+            view.loss = np.inf  # of other rows than before
+        for _ in range(STEPS):
+            parts, far = pool(lambda part: taught_sums(history, views, part)), 0.0
+            for v in (0, 1):
+                sums = np.concatenate([part.ravel() for part in map(np.asarray, views[v].sums(z[v], labels))])
+                for side, of_labels in ((0, 1 - share), (1, share)):  # in the proportion of the labels
+                    n, more = parts[2 * v + side][0], parts[2 * v + side][1:]
+                    sums = sums + TAUGHT_WEIGHT * min(1.0, len(labels) * of_labels / max(1.0, n)) * more
+                taught[v] = int(parts[2 * v][0] + parts[2 * v + 1][0])
+                k = len(views[v].w)
+                far = max(far, views[v].step(sums[0], sums[1 : k + 1], sums[k + 1 :].reshape(k, k)))
+            if far < 1e-6:
+                break
     at = apart if apart.any() else train
     calibrations = [Logistic(views[v].odds(x[v][at])[:, None], y[at], ridge=0.1) for v in (0, 1)]
-    return CoTrained(views, calibrations, prior, [sum(map(len, labels[v])) - len(labels[v][0]) for v in (0, 1)])
+    return CoTrained(views, calibrations, prior, taught)
 
 
 def _nth(n: int, limit: int) -> float:
@@ -169,29 +242,59 @@ def _chosen(column: str, share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit("quality"), column), F.lit(1 << 30).cast("long")) < int(share * (1 << 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
-    """Fit on bounded samples of ``labels`` (doc_id, quality) and of the other documents.
+def _views(batch) -> list[np.ndarray]:
+    """Both views' features from rows of t, s, l, n."""
+    t = np.frombuffer(b"".join(batch.column("t").to_pylist()), dtype=float).reshape(-1, TEXT_FEATURES)
+    return [t, meta_matrix(batch.column("s").to_numpy(), batch.column("l").to_numpy(), batch.column("n").to_pylist())]
+
+
+def _pool_sums(rows: DataFrame) -> Callable:
+    """Sums over written rows of features, a job for each; a task hands on fixed-size sums."""
+
+    def pool(f: Callable) -> list[np.ndarray]:
+        def run(batches):
+            total = None
+            for b in batches:
+                part = f(_views(b))
+                total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([pickle.dumps(total)], pa.binary())})
+
+        total = f([np.zeros((0, TEXT_FEATURES)), np.zeros((0, META_FEATURES))])
+        for sums in rows.mapInArrow(run, "sums binary").toArrow().column("sums").to_pylist():
+            total = [x + y for x, y in zip(total, pickle.loads(sums), strict=True)]
+        return total
+
+    return pool
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
+    """Fit on a bounded sample of ``labels`` (doc_id, quality) and on all other documents.
 
     Rows with a null id or quality are not used; a document with several labels has their majority.
     """
     named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    n_labels, n_docs = labels.count(), docs.count()
-    some = named.where(_chosen("doc_id", _nth(n_labels, max_labelled)))
+    some = named.where(_chosen("doc_id", _nth(labels.count(), max_labelled)))
     base = docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang")], F.col("n_chars").cast("long"), F.col("text").cast("string"))
     labelled = base.join(F.broadcast(some.limit(2 * max_labelled)), "doc_id").select(*base.columns, "y")
-    pool = base.where(_chosen("doc_id", _nth(n_docs, max_pool))).join(F.broadcast(some.limit(2 * max_labelled)), "doc_id", "left_anti").select("*", F.lit(None).cast("double").alias("y"))
+    unlabelled = base.join(F.broadcast(some.limit(2 * max_labelled)), "doc_id", "left_anti").select("*", F.lit(None).cast("double").alias("y"))
 
     def features(batches):
         for b in batches:
-            t, m = text_features(b.column(4)), meta_features(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "y": b.column(5), "t": pa.array([r.tobytes() for r in t], pa.binary()), "m": pa.array([r.tobytes() for r in m], pa.binary())})
-
-    rows = labelled.union(pool).mapInArrow(features, "doc_id long, y double, t binary, m binary").toArrow().sort_by("doc_id")
-    y = np.array([np.nan if v is None else v for v in rows.column("y").to_pylist()])
-    views = [np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=float).reshape(-1, k) for c, k in (("t", TEXT_FEATURES), ("m", META_FEATURES))]
-    has = ~np.isnan(y)
-    order = np.random.default_rng(5).permutation(int(has.sum()))
-    return co_train([v[has][order] for v in views], y[has][order], [v[~has] for v in views])
+            t, (s, l) = text_features(b.column(4)), meta_codes(b.column(1).to_pylist(), b.column(2).to_pylist())  # noqa: E741
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "y": b.column(5), "t": pa.array([r.tobytes() for r in t], pa.binary()), "s": pa.array(s), "l": pa.array(l), "n": b.column(3)})
+
+    schema = "doc_id long, y double, t binary, s int, l int, n long"
+    rows = labelled.mapInArrow(features, schema).toArrow().sort_by("doc_id")
+    y = np.array(rows.column("y").to_pylist(), dtype=float)
+    order = np.random.default_rng(5).permutation(len(y))
+    x = [v[order] for v in _views(rows)]
+    if not len(y):
+        return co_train(x, y, lambda f: f(x))
+    pool = written(unlabelled.mapInArrow(features, schema).select("t", "s", "l", "n"), "quality-pool")
+    model = co_train(x, y[order], _pool_sums(pool))
+    dropped(pool)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import gif_media as gif
@@ -210,3 +211,18 @@ def test_quality_edges(spark):
     assert len(quality.quality_scores(docs, labels).collect()) == 5
     assert {r.score for r in quality.quality_scores(docs, labels.where("false")).collect()} == {0.5}
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
+
+
+def test_quality_teaches_every_confident_document(spark):
+    rng = random.Random(3)
+    good = [" ".join(rng.choice(["river", "stone", "walked", "quietly", "morning", "light"]) + str(rng.randint(1, 99)) for _ in range(rng.randint(20, 40))) for _ in range(3000)]
+    bad = ["|#" * rng.randint(20, 90) for _ in range(3000)]
+    rows = [(i, t, f"s{i % 2}", "en", 100 + 400 * (i % 2)) for i, t in enumerate(t for pair in zip(good, bad, strict=True) for t in pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    few, many = quality.fit(docs.repartition(2), labels), quality.fit(docs.repartition(7), labels)
+    pool = rows[400:]
+    x = [quality.text_features(pa.array([r[1] for r in pool])), quality.meta_features(*[[r[k] for r in pool] for k in (2, 3, 4)])]
+    assert few.taught == many.taught == [5600, 5600]  # both views are sure of every document
+    for a, b in zip(few.scores(*x), many.scores(*x), strict=True):
+        assert np.allclose(a, b, atol=1e-9) and ((a > 0.5) == np.array([r[0] % 2 == 0 for r in pool])).all()
