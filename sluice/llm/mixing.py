@@ -5,7 +5,8 @@ mix is a sequence of output slots, cut into shards of ``shard_slots``.  The sour
 counts of the shards are drawn multinomially given the sources' totals: the draws of
 all sources are put into a keyed pseudorandom order and the order is cut into shards.
 (With free draws a source whose target is its cap of three epochs would exceed the cap
-in half of all cases; given the totals, each source meets its target to half a block.)
+in half of all cases; given the totals, each source meets its target to half a block,
+and one at its cap exactly, as a source's short last block counts by its own length.)
 The k-th draw of a source is block ``permutation(k mod blocks)`` of the source, where
 the permutation is keyed by source and epoch, and documents are found by joining the
 blocks by index.
@@ -42,13 +43,15 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(sized: DataFrame, block_words: int) -> DataFrame:
+def targets(sized: DataFrame, block_words: int, seed: int = 17) -> DataFrame:
     """One row per source: source_size, target, blocks, draws, first_draw, all_draws.
 
     Sources in code-point order (null last) weigh 1, 2, 3, repeating.  A target is
     ``min(3 * size, level * weight)``, where the level makes the targets add up to the
     size of everything; sources are capped in the order of ``3 * size / weight``, so the
-    level is found by running sums over the sources.
+    level is found by running sums over the sources.  Draws are whole epochs and, of the
+    next one, as many as come nearest to the target: up to the place of the short last
+    block in that epoch's permutation all have ``block_words`` words.
     """
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name, by_ratio = Window.orderBy(F.asc_nulls_last("source")), Window.orderBy("ratio", F.asc_nulls_last("source"))
@@ -63,13 +66,19 @@ def targets(sized: DataFrame, block_words: int) -> DataFrame:
     s = s.withColumn("level", F.min_by(F.when(F.col("ratio") > F.col("level"), F.col("level")), F.when(F.col("ratio") > F.col("level"), F.col("nth"))).over(every))
     s = s.withColumn("target", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), EPOCHS * F.col("source_size").cast("double")).otherwise(F.col("level") * F.col("weight")))
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    s = s.withColumn("draws", F.least(F.round(F.col("target") / block_words).cast("long"), EPOCHS * F.col("blocks")))
+    size, blocks = F.greatest("source_size", F.lit(1)), F.greatest("blocks", F.lit(1).cast("long"))
+    s = s.withColumn("epochs", F.floor(F.col("target") / size).cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    s = s.withColumn("last", permuted(blocks - 1, blocks, F.lit(seed), F.col("source"), F.col("epochs"), inverse=True)).withColumn("short", F.col("blocks") * block_words - F.col("source_size"))
+    near = [F.least(F.greatest(f(x / block_words).cast("long"), F.lit(0).cast("long")), F.col("blocks")) for x in (F.col("rest"), F.col("rest") + F.col("short")) for f in (F.floor, F.ceil)]
+    words = [d * block_words - F.when(d > F.col("last"), F.col("short")).otherwise(0) for d in near]
+    best = F.array_min(F.array(*[F.struct(F.abs(w - F.col("rest")).alias("off"), d.alias("d")) for d, w in zip(near, words, strict=True)]))
+    s = s.withColumn("draws", F.col("epochs") * F.col("blocks") + best["d"])
     s = s.withColumn("first_draw", F.coalesce(F.sum("draws").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     return s.select("source", "source_size", "target", "blocks", "draws", "first_draw", F.sum("draws").over(every).alias("all_draws"))
 
 
-def permuted(index: Column, size: Column, *key: Column) -> Column:
-    """The place of ``index`` in a keyed pseudorandom permutation of ``[0, size)``.
+def permuted(index: Column, size: Column, *key: Column, inverse: bool = False) -> Column:
+    """The place of ``index`` in a keyed pseudorandom permutation of ``[0, size)``, or the index of a place.
 
     The rounds are folded by a higher-order function: as nested columns they would be
     copied into each other when a filter is pushed below them.
@@ -80,7 +89,8 @@ def permuted(index: Column, size: Column, *key: Column) -> Column:
         bit = F.xxhash64(2 * r + 1, F.greatest(at, other), *key).bitwiseAND(F.lit(1).cast("long"))
         return F.when(bit == 1, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), index.cast("long"), turn)
+    rounds = [F.lit(0), F.lit(ROUNDS - 1)]  # each is its own inverse
+    return F.aggregate(F.sequence(*(rounds[::-1] if inverse else rounds)), index.cast("long"), turn)
 
 
 def slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
@@ -147,7 +157,7 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: i
     The result depends on the rows, ``seed`` and the block size alone.
     """
     sized = written(sizes(docs), "mix-sizes")
-    sources = written(targets(sized, block_words), "mix-sources")
+    sources = written(targets(sized, block_words, seed), "mix-sources")
     taken = drawn(offsets(sized), sources, block_words, shard_slots, seed).groupBy("row").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
     s = sized.join(taken, "row", "left").alias("s")
     return s.join(sources.alias("t"), F.expr("s.source <=> t.source"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
@@ -165,7 +175,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 4
         rowed.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), F.col("_mix_row").alias("row")),
         "mix-sizes",
     )
-    sources = written(targets(sized, block_words), "mix-sources")
+    sources = written(targets(sized, block_words, seed), "mix-sources")
     pieces = drawn(offsets(sized), sources, block_words, shard_slots, seed)
     span = F.col("high") - F.col("low")
     kept = pieces.groupBy(F.col("row").alias("_mix_at"), F.col("epoch").alias("_mix_epoch")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_mix_pieces"), F.sum(span).alias("_mix_taken"))

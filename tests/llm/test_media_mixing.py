@@ -138,6 +138,16 @@ def test_mix(spark):
     assert mixing.mix(docs.where("false")).count() == 0 and {r.taken for r in mixing.mix(docs.where("text is null")).collect()} == {0}
 
 
+def test_small_sources_meet_their_targets(spark):
+    from pyspark.sql import functions as F
+
+    for tiny in (1, 10, 20, 65, 200):
+        rows = [(i, "w " * 100, "big") for i in range(300)] + [(1000 + i, "w " * 100, "mid") for i in range(200)] + [(2000, "w " * tiny, "tiny"), (2001, "w " * (2 * tiny), None)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+        assert {r.source_size: r.taken for r in got if r.source_size <= 400} == {tiny: 3 * tiny, 2 * tiny: 6 * tiny}
+        assert all(abs(r.taken - r.target) <= 32 and r.most <= 3 for r in got), got
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     docs = spark.createDataFrame([(i, t, s, -1, 7, "x", "y") for i, t, s in mix_rows() if i is not None and i != 5], "doc_id long, text string, source string, n_chars long, row int, words string, epoch string")
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
@@ -158,6 +168,15 @@ def test_permutations_are_bijections(spark):
             assert sorted(r.p for r in got) == list(range(n))
 
 
+def test_permutations_have_inverses(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 100):
+        there = mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5))
+        got = spark.range(n).select("id", mixing.permuted(there, F.lit(n).cast("long"), F.lit(5), inverse=True).alias("p")).collect()
+        assert all(r.p == r.id for r in got)
+
+
 def test_slots_fill_shards_without_repeats(spark):
     docs = spark.createDataFrame([(i, t, s) for i, t, s in mix_rows()], "doc_id long, text string, source string")
     sources = mixing.targets(mixing.sizes(docs), 64)
