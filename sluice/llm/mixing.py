@@ -9,7 +9,8 @@ in half of all cases; given the totals, each source meets its target to half a b
 and one at its cap exactly, as a source's short last block counts by its own length.)
 The k-th draw of a source is block ``permutation(k mod blocks)`` of the source, where
 the permutation is keyed by source and epoch, and documents are found by joining the
-blocks by index.
+blocks by index.  The result says which shards a document's words go to, and the mix
+as documents comes in the order of shards and slots.
 
 Permutations are swap-or-not shuffles (Hoang, Morris, Rogaway, 2012): bijections on
 any range, in a few JVM expressions per round, so nothing is sorted, cycled or collected.
@@ -150,24 +151,28 @@ def drawn(placed: DataFrame, sources: DataFrame, block_words: int, shard_slots:
 
 
 def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, and ``shards``.
 
+    ``shards`` has the output shards that the document's words go to, with their words there.
     Null text has size 0; a null source is a source; rows without words are never taken.
     Repeated rows count as separate documents.  An empty table gives an empty result.
-    The result depends on the rows, ``seed`` and the block size alone.
+    The result depends on the rows, ``seed``, the block size and the shard size alone.
     """
     sized = written(sizes(docs), "mix-sizes")
     sources = written(targets(sized, block_words, seed), "mix-sources")
-    taken = drawn(offsets(sized), sources, block_words, shard_slots, seed).groupBy("row").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
+    by_shard = drawn(offsets(sized), sources, block_words, shard_slots, seed).groupBy("row", "shard").agg(F.sum(F.col("high") - F.col("low")).alias("words"))
+    taken = by_shard.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards"))
     s = sized.join(taken, "row", "left").alias("s")
-    return s.join(sources.alias("t"), F.expr("s.source <=> t.source"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    none = F.array().cast("array<struct<shard:bigint,words:bigint>>")
+    return s.join(sources.alias("t"), F.expr("s.source <=> t.source"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
     """The mix as documents with the input's columns.
 
     Each document gives a row for each epoch in which some of it is drawn, with the drawn
-    words in order; a document drawn whole keeps its text as it is.  ``n_chars``, where
+    words in order; a document drawn whole keeps its text as it is.  Rows stand at the first
+    of their slots: partitions are runs of shards, and within them rows are in slot order.  ``n_chars``, where
     there is such a column, follows the text.
     """
     rowed = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs", "snappy")
@@ -178,7 +183,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 4
     sources = written(targets(sized, block_words, seed), "mix-sources")
     pieces = drawn(offsets(sized), sources, block_words, shard_slots, seed)
     span = F.col("high") - F.col("low")
-    kept = pieces.groupBy(F.col("row").alias("_mix_at"), F.col("epoch").alias("_mix_epoch")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_mix_pieces"), F.sum(span).alias("_mix_taken"))
+    kept = pieces.groupBy(F.col("row").alias("_mix_at"), F.col("epoch").alias("_mix_epoch")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_mix_pieces"), F.sum(span).alias("_mix_taken"), F.min(F.struct("shard", "slot")).alias("_mix_first"))
     out = rowed.join(kept, F.col("_mix_row") == F.col("_mix_at"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     out = out.withColumn("_mix_words", F.when(F.col("_mix_taken") < F.regexp_count("text", F.lit(WORD)), words))
@@ -186,4 +191,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 4
     out = out.withColumn("text", F.when(F.col("_mix_words").isNull(), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    parts, shards = shuffle_partitions(docs.sparkSession), F.lit(-(-(sources.agg(F.max("all_draws")).first()[0] or 1) // shard_slots))
+    place = F.least(F.col("_mix_first.shard") * parts / shards, F.lit(parts - 1)).cast("int")
+    out = out.select(*[f"`{c}`" for c in docs.columns], "_mix_first", place.alias("_mix_place")).repartitionById(parts, F.col("_mix_place")).sortWithinPartitions("_mix_first")
     return out.select(*[f"`{c}`" for c in docs.columns])

@@ -186,6 +186,30 @@ def test_slots_fill_shards_without_repeats(spark):
     assert len(seen) == len(slots)
 
 
+def test_shards_are_in_the_result(spark):
+    docs = spark.createDataFrame([(i, f"t{i} " * 64, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    slots = mixing.slots(mixing.targets(mixing.sizes(docs), 64), 20, 17).collect()
+    want, got = {}, {}
+    for s in slots:  # a document is a block here
+        want[s.source, s.shard] = want.get((s.source, s.shard), 0) + 64
+    for r in mixing.mix(docs, shard_slots=20).collect():
+        assert sum(x.words for x in r.shards) == r.taken
+        for x in r.shards:
+            key = "ab"[r.doc_id % 2], x.shard
+            got[key] = got.get(key, 0) + x.words
+    assert got == want and len({k for _, k in got}) == 10
+    shards = {r.doc_id: sorted(x.shard for x in r.shards for _ in range(x.words // 64)) for r in mixing.mix(docs, shard_slots=20).collect()}
+    order = [r.doc_id for r in mixing.mixed_documents(docs, shard_slots=20).collect()]
+    left = {i: list(v) for i, v in shards.items()}
+    at = 0
+    for i in order:  # each row in turn has a shard of its document that is not before the one reached
+        later = [k for k in left[i] if k >= at]
+        assert later
+        at = later[0]
+        left[i].remove(at)
+    assert not any(left.values())
+
+
 # language and quality
 
 
