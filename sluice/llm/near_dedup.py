@@ -7,13 +7,15 @@ collection, so 2 * 2 * 8 = 32 minhashes form 64 tables of four minhashes.  A pai
 similarity 0.85 misses all tables with probability 1 - (1 - (1 - 0.85**2)**8)**2 < 1e-4, one
 of similarity 0.80 with probability 6e-4.
 
-Equal sets are one node from the start.  Nodes that share a table key are then linked in
+Equal sets are one node from the start.  Nodes that share a table key are linked in two
 rounds, and every link is confirmed on the full sets:
 
-* against the smallest node of each key (one pair per node and key);
-* within keys that still hold several components, against a random node of each key, the
-  closest sketches first, twice;
-* every remaining pair across components that shares a table key, whatever its number.
+* each node against three members of each of its keys (picked by salted node numbers, the
+  same for all nodes of the key), the closest sketches first;
+* every remaining pair across components that shares a table key, whatever their number.
+  A key's nodes are cut into blocks of bounded rows and words, and pairs of blocks are dealt
+  out, so no task holds a large key.  The largest component of a key is only compared with
+  the nodes outside it.  Pairs are compared inside the task; only links leave it.
 
 Copies inside one component are never expanded into pairs, and no pair across components
 is left out but those whose 32 four-bit sketches differ in more than ``allowed_mismatches``
@@ -24,6 +26,8 @@ star contractions over written tables; nothing is collected.
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ SIDE = 8
 PER_GROUP = 2
 HASHES = 2 * SIDE * PER_GROUP
 CLOSEST = 4
+#: Members of a key that all its nodes are compared with: those of the smallest numbers, salted.
+HUBS = (0, 0x2A5F3C71D9B, 0x155AC38E264)
 #: Candidate ids that are broadcast at most (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -45,10 +51,7 @@ _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _SALT = mix(np.arange(1, 2 * SIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-SIGNATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("x1", pa.int64()), ("x2", pa.int64())]
-)
-SIGNATURES_SQL = "doc_id long, n long, fp binary, a array<long>, b array<long>, x1 long, x2 long"
+SIGNATURES_SQL = "doc_id long, text_hash long, n long, fp binary, a array<long>, b array<long>, x1 long, x2 long"
 
 
 def _fingerprints(s: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -65,7 +68,7 @@ def _fingerprints(s: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 def _signatures(batches):
     for batch in batches:
-        for first, data, bounds in slices(batch.column(1)):
+        for first, data, bounds in slices(batch.column(2)):
             s, at = shingle_sets(data, bounds)
             n = np.diff(at)
             full, k = n > 0, len(n)
@@ -78,10 +81,9 @@ def _signatures(batches):
             sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
             offsets = pa.array(np.arange(k + 1, dtype=np.int32) * SIDE)
             side = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(groups[:, i * SIDE : (i + 1) * SIDE]).view(np.int64).ravel())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, k), pa.array(n), pa.array(_fingerprints(s, at, n), pa.binary()), *side, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
-                schema=SIGNATURES,
-            )
+            given = [batch.column(c).slice(first, k) for c in (0, 1)]
+            columns = [*given, pa.array(n), pa.array(_fingerprints(s, at, n), pa.binary()), *side, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "fp", "a", "b", "x1", "x2"])
 
 
 SETS_SQL = "fp binary, s array<long>"
@@ -96,8 +98,9 @@ def _sets(batches):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, set fingerprint, the two collections of hash groups, and the sketch."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, SIGNATURES_SQL)
+    """doc_id, a hash of the text as it is, set size, set fingerprint, the two collections of hash groups, and the sketch."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(_signatures, SIGNATURES_SQL)
 
 
 def mismatches(*pairs: tuple[Column, Column]) -> Column:
@@ -177,98 +180,205 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+#: Rows, and words of their sets, of a block of a key's nodes: what one comparison holds of either side.
+BLOCK, BLOCK_WORDS = 256, 4_000_000
+
+
+def _differ(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """Places in which sketches differ, for each x and y."""
+    total = np.zeros((len(x1), len(y1)), dtype=np.uint8)
+    for x, y in ((x1, y1), (x2, y2)):
+        d = x[:, None] ^ y[None, :]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        total += np.bitwise_count(d & np.uint64(0x1111111111111111))
+    return total
+
+
+class Cell:
+    """The nodes of one pair of blocks of one table key; ``side`` is 0 in both blocks, 1 in the first, 2 in the second."""
+
+    def __init__(self, rows: pa.Table):
+        get = lambda name: rows.column(name).to_numpy()
+        side, self.node, self.label, self.n = get("side"), get("node"), get("label"), get("n")
+        self.x, self.y = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        self.sketch = [get(name).view(np.uint64) for name in ("x1", "x2")]
+        self.groups = [rows.column(name).combine_chunks().flatten().to_numpy().reshape(-1, SIDE) for name in ("a", "b")]
+        self.at = int(get("k")[0]), int(get("j")[0])
+
+    def possible(self, percent: int, allowed: int) -> np.ndarray:
+        """Which x may be linked to which y, for pairs across components that no earlier table has."""
+        x, y = self.x, self.y
+        ok = (self.label[x][:, None] != self.label[y][None, :]) & (self.node[x][:, None] != self.node[y][None, :])
+        n, m = self.n[x][:, None], self.n[y][None, :]
+        ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        if ok.any():
+            ok &= _differ(self.sketch[0][x], self.sketch[1][x], self.sketch[0][y], self.sketch[1][y]) <= allowed
+        for group, until in zip(self.groups, self.at, strict=True):
+            for g in range(until if ok.any() else 0):
+                ok &= group[x, g][:, None] != group[y, g][None, :]
+        return ok
+
+    def links(self, ok: np.ndarray, sets: pa.ListArray, percent: int) -> list[tuple[int, int]]:
+        """Labels of components that a confirmed pair joins; pairs within what is joined already are not confirmed again."""
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (p := parent.setdefault(c, c)) != c:
+                parent[c] = c = parent[p]
+            return c
+
+        found, member = [], self.label.tolist()
+        for i, row in zip(self.x.tolist(), ok, strict=True):
+            mates = [j for j in self.y[np.flatnonzero(row)].tolist() if top(member[j]) != top(member[i])]
+            if not mates:
+                continue
+            mine, theirs = sets[i].values.to_numpy().view(np.uint64), [sets[j].values.to_numpy().view(np.uint64) for j in mates]
+            every = np.concatenate(theirs)
+            place = np.searchsorted(mine, every)
+            hit = mine[np.minimum(place, len(mine) - 1)] == every
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum([0] + [len(t) for t in theirs[:-1]]))
+            for j, shared, t in zip(mates, both.tolist(), theirs, strict=True):
+                if 100 * shared >= percent * (len(mine) + len(t) - shared) and top(member[i]) != top(member[j]):
+                    found.append((member[i], member[j]))
+                    u, v = top(member[i]), top(member[j])
+                    parent[max(u, v)] = min(u, v)
+        return found
+
+
+def _cells(batches) -> Iterator[pa.Table]:
+    """Rows of one cell at a time, from batches in which cells follow each other."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        if not rows.num_rows:
+            continue
+        keys = np.column_stack([rows.column(c).to_numpy() for c in CELL])
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        for at, end in zip(starts[:-1], starts[1:], strict=True):
+            yield rows.slice(at, end - at)
+        rest = rows.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+CELL = ("key", "ci", "cj")
+ROW_SQL = "key long, ci long, cj long, side int, node long, label long, n long, x1 long, x2 long, a array<long>, b array<long>, k int, j int"
+
+
+def _may_link(percent: int):
+    """Rows of cells that have a possible partner in their cell."""
+    allowed = allowed_mismatches(percent)
+
+    def run(batches):
+        for rows in _cells(batches):
+            cell = Cell(rows)
+            ok = cell.possible(percent, allowed)
+            some = np.unique(np.concatenate([cell.x[ok.any(axis=1)], cell.y[ok.any(axis=0)]]))
+            if len(some):
+                yield from rows.take(some).combine_chunks().to_batches()
+
+    return run
+
+
+def _confirmed(percent: int):
+    """Pairs of labels that confirmed links join, cell by cell."""
+    allowed = allowed_mismatches(percent)
+
+    def run(batches):
+        for rows in _cells(batches):
+            cell = Cell(rows)
+            found = cell.links(cell.possible(percent, allowed), rows.column("s").combine_chunks(), percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
+
+    return run
+
+
 class Linker:
-    """The candidate nodes, their tables and sets, and the components found so far."""
+    """The nodes that share table keys, their tables and sets, and the components found so far.
+
+    ``moved`` is ``(node, label)`` for the nodes whose component has another label than they.
+    """
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int):
-        spark, self.percent = docs.sparkSession, percent
-        halves = nodes.select("fp", F.explode("a").alias("v"), F.lit(True).alias("left")).union(nodes.select("fp", F.explode("b"), F.lit(False)))
+        self.spark, self.percent, self.temporary = docs.sparkSession, percent, []
+        self.parts = shuffle_partitions(self.spark)
+        halves = nodes.select("node", "n", F.posexplode(F.concat("a", "b")).alias("k", "v"))
         often = halves.groupBy("v").count().where("count > 1").select("v")
-        hits = halves.join(often, "v", "left_semi").groupBy("fp").agg(*[F.collect_list(F.when(F.col("left") == side, F.col("v"))).alias(name) for side, name in ((True, "a"), (False, "b"))])
-        hits = hits.where("size(a) > 0 and size(b) > 0")
-        keys = hits.select("fp", F.explode("a").alias("va"), "b").select("fp", "va", F.explode("b").alias("vb")).select("fp", F.xxhash64("va", "vb").alias("key"))
-        keys = written(keys, "near-keys")
-        shared = keys.groupBy("key").count().where("count > 1").select("key")
-        self.tables = written(keys.join(shared, "key", "left_semi"), "near-tables")
-        dropped(keys)
-        used = self.tables.select("fp").distinct()
-        self.info = written(nodes.join(used, "fp", "left_semi"), "near-nodes")
-        ids = written(self.info.select("id"), "near-ids")
+        hits = halves.join(often, "v", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("k", "v")).alias("g"))
+        sides = [F.filter("g", lambda g: g["k"] < SIDE), F.filter("g", lambda g: g["k"] >= SIDE)]
+        keys = hits.select("node", "n", F.explode(sides[0]).alias("l"), sides[1].alias("r")).select("node", "n", "l", F.explode("r").alias("r"))
+        keys = self.write(keys.select("node", "n", F.xxhash64("l.v", "r.v").alias("key"), F.col("l.k").alias("k"), (F.col("r.k") - SIDE).alias("j")), "near-keys")
+        picks = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"h{i}") for i, x in enumerate(HUBS)]
+        shared = keys.groupBy("key").agg(F.count("*").alias("_many"), *picks).where("_many > 1").drop("_many")
+        self.tables = self.write(keys.join(shared, "key"), "near-tables")
+        self.info = self.write(nodes.join(self.tables.select("node").distinct(), "node", "left_semi"), "near-nodes")
+        ids = self.write(self.info.select("id"), "near-ids")
         bounded = ids.count() <= BROADCAST_IDS
-        same = docs["doc_id"].eqNullSafe(ids["id"])
-        some = docs.join(F.broadcast(ids) if bounded else ids, same, "left_semi").select(F.col("text").cast("string"))
-        sets = some.mapInArrow(_sets, SETS_SQL).join(used, "fp", "left_semi") if not bounded else some.mapInArrow(_sets, SETS_SQL)
-        self.sets = written(sets.repartition(shuffle_partitions(spark), "fp").dropDuplicates(["fp"]), "near-sets", "lz4")
-        self.labels = self.info.select("fp", F.col("fp").alias("label"))
-
-    def near(self, x: str, y: str) -> Column:
-        """Whether sizes and sketches of two nodes leave room for a link."""
-        a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
-        sizes = 100 * F.least(a("n"), b("n")) >= self.percent * F.greatest(a("n"), b("n"))
-        return sizes & (mismatches((a("x1"), b("x1")), (a("x2"), b("x2"))) <= allowed_mismatches(self.percent))
-
-    def link(self, pairs: DataFrame) -> None:
-        """Confirm pairs ``(u, v)`` on the full sets and join their components."""
-        pairs = written(pairs, "near-pairs")
-        x, y = self.sets.select(F.col("fp").alias("u"), F.col("s").alias("sx")), self.sets.select(F.col("fp").alias("v"), F.col("s").alias("sy"))
+        some = docs.join(F.broadcast(ids) if bounded else ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select(F.col("text").cast("string"))
+        sets = some.mapInArrow(_sets, SETS_SQL).join(self.info.select("node", "fp"), "fp").select("node", "s")
+        self.sets = self.write(sets.repartition(self.parts, "node").dropDuplicates(["node"]), "near-sets", "lz4")
+
+    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """A written table that goes when the links are found."""
+        self.temporary.append(written(df, name, codec))
+        return self.temporary[-1]
+
+    def against_some(self) -> None:
+        """Links each node to the closest of the picked members of its keys."""
+        tables, info = self.tables, self.info.select("node", "n", "x1", "x2")
+        pairs = tables.select(F.col("node").alias("u"), F.explode(F.array(*[f"h{i}" for i in range(len(HUBS))])).alias("v")).where("u != v").groupBy("u").agg(F.collect_set("v").alias("v"))
+        pairs = pairs.alias("p").join(info.alias("x"), F.expr("p.u = x.node")).select("x.*", F.explode("p.v").alias("v")).alias("x").join(info.alias("y"), F.expr("x.v = y.node"))
+        a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+        far = mismatches((a("x1"), b("x1")), (a("x2"), b("x2")))
+        near = (100 * F.least(a("n"), b("n")) >= self.percent * F.greatest(a("n"), b("n"))) & (far <= allowed_mismatches(self.percent))
+        closest = pairs.where(near).select(a("node").alias("u"), F.struct(far.alias("far"), F.col("v")).alias("c")).groupBy("u").agg(F.slice(F.sort_array(F.collect_list("c")), 1, CLOSEST).alias("c"))
+        x, y = self.sets.select(F.col("node").alias("u"), F.col("s").alias("sx")), self.sets.select(F.col("node").alias("v"), F.col("s").alias("sy"))
+        found = closest.join(x, "u").select("u", "sx", F.explode("c.v").alias("v")).join(y, "v")
         both = F.size(F.array_intersect("sx", "sy"))
-        found = pairs.join(x, "u").join(y, "v").where(100 * both >= self.percent * (F.size("sx") + F.size("sy") - both)).select("u", "v")
-        self.join_components(found)
-        dropped(pairs)
-
-    def join_components(self, links: DataFrame) -> None:
-        """Give the components of linked nodes one label, the smallest."""
-        ends = links.join(self.labels.select(F.col("fp").alias("u"), F.col("label").alias("lu")), "u").join(self.labels.select(F.col("fp").alias("v"), F.col("label").alias("lv")), "v")
-        stars = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-        moved = self.labels.join(stars.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-        self.labels = written(moved.select("fp", F.coalesce("to", "label").alias("label")), "near-labels")
-
-    def against_smallest(self) -> None:
-        t = self.tables
-        pairs = t.join(t.groupBy("key").agg(F.min("fp").alias("v")), "key").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
-        pairs = pairs.alias("p").join(self.info.alias("x"), F.expr("p.u = x.fp")).join(self.info.alias("y"), F.expr("p.v = y.fp")).where(self.near("x", "y"))
-        self.link(pairs.select("u", "v"))
-
-    def against_random(self, turn: int) -> None:
-        t = self.tables.join(self.labels, "fp")
-        keys = t.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("v"), F.min_by("label", F.xxhash64("fp", F.lit(turn))).alias("lv")).where("l0 != l1")
-        pairs = t.join(keys, "key").where("label != lv").select(F.col("fp").alias("u"), "v").distinct()
-        pairs = pairs.alias("p").join(self.info.alias("x"), F.expr("p.u = x.fp")).join(self.info.alias("y"), F.expr("p.v = y.fp")).where(self.near("x", "y"))
-        far = mismatches((F.col("x.x1"), F.col("y.x1")), (F.col("x.x2"), F.col("y.x2")))
-        closest = pairs.select("u", F.struct(far.alias("far"), "v").alias("c")).groupBy("u").agg(F.slice(F.sort_array(F.collect_list("c")), 1, CLOSEST).alias("c"))
-        self.link(closest.select("u", F.explode("c.v").alias("v")))
+        self.moved = self.write(components(found.where(100 * both >= self.percent * (F.size("sx") + F.size("sy") - both)).select("u", "v")), "near-moved")
 
     def remaining(self) -> None:
-        """Every pair across components that shares a table key, confirmed inside the join.
-
-        A shared table key is an equal group on either side of the collections.  One side
-        leaves out the largest component of the group it is joined by, so the cost is the
-        nodes outside that component times the group.  Each pair is tested in the first
-        left group that it has in common, first by sizes and sketches.  Nodes without any
-        pair left by those are dropped before the sets are attached, and only links leave
-        the join.
-        """
-        nodes = self.info.join(self.labels, "fp")
-        rows = written(nodes.select("fp", "label", "n", "a", "b", "x1", "x2", F.posexplode("a").alias("k", "g")), "near-groups", "lz4")
-        by = rows.groupBy("g", "label").count()
-        main = by.groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("g", "main")
-        rows, every = written(rows.join(main, "g"), "near-open", "lz4"), rows
-        dropped(every)
-        same = lambda side, k: F.col(f"x.{side}")[k] == F.col(f"y.{side}")[k]
-        earlier, right = F.lit(False), F.lit(False)
-        for k in range(SIDE):
-            earlier, right = earlier | ((F.col("x.k") > k) & same("a", k)), right | same("b", k)
-        across = (F.col("x.g") == F.col("y.g")) & (F.col("x.label") != F.col("y.label")) & self.near("x", "y")
-        once = (F.col("y.label") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))
-        possible = across & once & ~earlier & right
-        x, y = rows.where("label != main").alias("x"), rows.alias("y")
-        x_rows, y_rows = x.join(y, possible, "left_semi"), y.join(x, possible, "left_semi")
-        both = F.size(F.array_intersect("x.s", "y.s"))
-        confirmed = 100 * both >= self.percent * (F.col("x.n") + F.col("y.n") - both)
-        links = x_rows.join(self.sets, "fp").hint("merge").alias("x").join(y_rows.join(self.sets, "fp").alias("y"), possible & confirmed)
-        self.join_components(links.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")))
-        for t in (rows, self.tables, self.sets):
-            dropped(t)
+        """Links every pair across components that shares a table key."""
+        rows = self.tables.select("key", "node", "n", "k", "j").join(self.moved, "node", "left").select("key", "node", "n", "k", "j", F.coalesce("label", "node").alias("label"))
+        by = rows.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
+        main = F.max_by(F.struct("label", "rows", "words"), F.struct("rows", "label")).alias("main")
+        mixed = by.groupBy("key").agg(F.count("*").alias("labels"), F.sum("rows").alias("rows"), F.sum("words").alias("words"), main).where("labels > 1")
+        blocks = lambda rows, words: F.greatest(F.ceil(rows / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("long")
+        mixed = mixed.select("key", blocks(F.col("rows"), F.col("words")).alias("every"), blocks(F.col("rows") - F.col("main.rows"), F.col("words") - F.col("main.words")).alias("others"), blocks(F.col("main.rows"), F.col("main.words")).alias("mains"), F.col("main.label").alias("main"))
+        rows = rows.join(mixed, "key").join(self.info.select("node", "x1", "x2", "a", "b"), "node")
+        one, inside = F.col("every") == 1, F.col("label") == F.col("main")
+        dealt = lambda n: F.pmod(F.xxhash64("node"), n)
+        block = F.when(one, 0).when(inside, F.col("others") + dealt(F.col("mains"))).otherwise(dealt(F.col("others")))
+        last = F.when(one, 0).when(inside, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+        rows = rows.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("c"))
+        side = F.when(F.col("c") == F.col("block"), 0).when(F.col("c") > F.col("block"), 1).otherwise(2)
+        rows = rows.select("key", F.least("c", "block").alias("ci"), F.greatest("c", "block").alias("cj"), side.alias("side"), "node", "label", "n", "x1", "x2", "a", "b", "k", "j")
+        together = lambda df: df.repartition(self.parts, *CELL).sortWithinPartitions(*CELL, "node")
+        possible = self.write(together(rows).mapInArrow(_may_link(self.percent), ROW_SQL), "near-cells", "lz4")
+        found = together(possible.join(self.sets, "node")).mapInArrow(_confirmed(self.percent), "u long, v long")
+        again = self.write(components(found).select(F.col("node").alias("label"), F.col("label").alias("to")), "near-moved-again")
+        ends = self.moved.select("node", "label").union(again.select("label", "label"))  # labels themselves may move, too
+        self.moved = ends.join(again, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _grouped(docs: DataFrame, percent: int, last: Callable) -> DataFrame:
+    """``last`` of rows (doc_id, text_hash, n, component, component_id), written; ``component`` is null for empty sets."""
+    sig = written(signatures(docs), "near-signatures")
+    nodes = sig.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "a", "b", "x1", "x2")])
+    nodes = written(nodes.select("*", F.monotonically_increasing_id().alias("node")), "near-all-nodes")
+    found = Linker(docs, nodes, percent)
+    found.against_some()
+    found.remaining()
+    named = nodes.select("node", "fp", "id").join(found.moved, "node", "left").select("fp", "id", F.coalesce("label", "node").alias("component"))
+    ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    rows = sig.select("doc_id", "text_hash", "n", "fp").join(named.select("fp", "component").join(ids, "component"), "fp", "left")
+    out = written(last(rows.drop("fp")), "near-result")
+    for table in (sig, nodes, *found.temporary):
+        dropped(table)
+    return out
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -279,25 +389,29 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     to a component but never names one that has another id.  Other columns are ignored;
     an empty table gives an empty result.
     """
-    sig = written(signatures(docs), "near-signatures")
-    nodes = sig.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "a", "b", "x1", "x2")])
-    nodes = written(nodes, "near-all-nodes")
-    found = Linker(docs, nodes, percent)
-    found.against_smallest()
-    found.against_random(1)
-    found.against_random(2)
-    found.remaining()
-    named = found.labels.join(nodes.select("fp", "id"), "fp")
-    named = named.join(named.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("fp", "component_id")
-    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    out = sig.select("doc_id", "n", "fp").join(of, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return _grouped(docs, percent, lambda rows: rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")))
 
 
 def without_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The input's rows whose document ``near_dedup`` keeps: one of each group, the smallest id."""
-    found = written(near_dedup(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")), "near-kept")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    gone = F.broadcast(gone) if found.where("not kept").count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """The input's rows without near copies: of each component the row with the smallest id stays.
+
+    Of rows that share that id, the one with the smallest hash of its text stays, and one of
+    repeated rows.  All rows with empty sets stay.
+    """
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+
+    def leaving(rows: DataFrame) -> DataFrame:
+        some = rows.where("n > 0")
+        by = some.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+        stays = by.groupBy("component").agg(F.min(first).alias("stays"))
+        return by.join(stays, "component").select("doc_id", "text_hash", "copies", (first == F.col("stays")).alias("stays")).where("not stays or copies > 1")
+
+    gone = _grouped(docs, percent, leaving)
+    n, (of_id, of_hash, of_text) = gone.count(), (f"near_{uuid.uuid4().hex}" for _ in range(3))
+    out = docs.select("*", F.xxhash64(docs["text"].cast("string")).alias(of_text))
+    gone = gone.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), "stays")
+    gone = F.broadcast(gone) if n <= BROADCAST_IDS else gone
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(of_id)) & (F.col(of_text) == F.col(of_hash))
+    once = out.join(gone.where("stays"), same, "left_semi").dropDuplicates(["doc_id", of_text])
+    return out.join(gone, same, "left_anti").unionByName(once).drop(of_text)

@@ -21,7 +21,7 @@ def test_stages(spark):
     assert {r.doc_id for r in b.collect()} == set(first.values()) and b.columns == d.columns
     c = stages["near_dedup"](spark, b, None).persist()
     rows = [(r.doc_id, r.text) for r in b.collect()]
-    assert {r.doc_id for r in c.collect()} == {i for (i, _), (_, k) in zip(rows, brute_near(rows), strict=True) if i == k}
+    assert {r.doc_id for r in c.collect()} == {i for (i, _), (_, k) in zip(rows, brute_near(rows, 80), strict=True) if i == k}
     m = stages["mixing"](spark, c, None).persist()
     assert m.columns == d.columns and 0.9 < sum(len(re.findall(r"\S+", r.text)) for r in m.collect()) / sum(len(r.text.split()) for r in c.collect()) < 1.1
     e = stages["sentencepiece"](spark, m, None)
