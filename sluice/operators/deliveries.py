@@ -80,7 +80,9 @@ def verdicts(messages: DataFrame, heads: DataFrame, exceptions: DataFrame, key_l
     head = heads.select(F.col("compaction_key").alias("message_key"), F.col("message_id").alias("_head"))
     held = key_leases.where(F.col("expires_at") > now).select("consumer_group_id", "message_key").withColumn("_held", F.lit(True))
     first = exceptions.where(F.col("status").isin(*UNRESOLVED)).groupBy("consumer_group_id", "message_key").agg(F.min("message_id").alias("_first"))
-    open_log = log.where(F.col("id") <= low).join(F.broadcast(committed.select("consumer_group_id", "committed")), F.col("id") > F.col("committed"))  # a row per group
+    asked = messages.where("message_key is not null and concurrency = 'ordered'").select("message_key").distinct()
+    before = log.where(F.col("id") <= low).join(asked, "message_key", "left_semi")
+    open_log = before.join(F.broadcast(committed.select("consumer_group_id", "committed")), F.col("id") > F.col("committed"))  # a row per group
     earlier = open_log.groupBy("consumer_group_id", "message_key").agg(F.min("id").alias("_earlier"))
     m = messages.where("message_key is not null and concurrency <> 'parallel'").join(head, "message_key", "left")
     for side in (held, first, earlier):

@@ -13,7 +13,8 @@ def bound(log: DataFrame, bindings: DataFrame, group: int) -> DataFrame:
     """Rows whose routing key matches any of the group's patterns; all rows for a group without patterns.
 
     The patterns (a checked, small number) become one regular expression in the scan's
-    filter; beyond the check they are an existence join.  A null key matches nothing.
+    filter; beyond the check, the log's distinct routing keys are matched with them, and rows are
+    joined by routing key.  A null key matches nothing.
     """
     mine = bindings.where(F.col("consumer_group_id") == group).select("pattern_regex")
     patterns = [r[0] for r in mine.limit(INLINE_BINDINGS + 1).collect()]
@@ -21,7 +22,8 @@ def bound(log: DataFrame, bindings: DataFrame, group: int) -> DataFrame:
         return log
     if len(patterns) <= INLINE_BINDINGS:
         return log.where(F.col("routing_key").rlike("|".join(f"(?:{p})" for p in patterns)))
-    return log.join(mine, F.rlike("routing_key", "pattern_regex"), "left_semi")
+    keys = log.where("routing_key is not null").select("routing_key").distinct()
+    return log.join(keys.join(mine, F.rlike("routing_key", "pattern_regex"), "left_semi"), "routing_key", "left_semi").select(log.columns)
 
 
 def winners(log: DataFrame, heads: DataFrame) -> DataFrame:

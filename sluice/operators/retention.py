@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,13 @@ def droppable(log: DataFrame, size: int, head: int, ttl: Column | None, now: Col
     return p if past_committed or committed is None else p.where(F.col("last_id") <= committed)
 
 
-def sweepable(log: DataFrame, size: int, head: int, ttl: Column, now: Column, committed: int | None, past_committed: bool = False) -> DataFrame:
-    """Expired rows at the front of partitions that begin before the cutoff."""
-    cutoff = now - ttl
+def sweepable(log: DataFrame, size: int, ttl: Column, now: Column, committed: int | None, past_committed: bool = False, grace: Column | None = None) -> DataFrame:
+    """Expired rows (with ``part``) of partitions that begin before the cutoff.
+
+    Rows count as expired once they have outlived the ttl and the ``grace`` period, so that a
+    partition that will soon be dropped whole isn't taken apart row by row.
+    """
+    cutoff = now - ttl if grace is None else now - ttl - grace
     begun = partitions(log, size).where(F.col("oldest_at") < cutoff).select("part")
     rows = log.withColumn("part", F.expr(f"id div {size}")).where(F.col("created_at") < cutoff)
     if not past_committed and committed is not None:
@@ -45,6 +49,12 @@ def first_batch(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit)
 
 
+def first_of_each(rows: DataFrame, limit: int) -> DataFrame:
+    """One transaction's worth of each partition's rows (id, part), by id: a backlog in one holds up no other."""
+    n = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return rows.withColumn("_n", n).where(F.col("_n") <= limit).drop("_n")
+
+
 def without(dependents: DataFrame, swept: DataFrame, column: str = "message_id") -> DataFrame:
     """Dependent rows whose message stays."""
     return dependents.join(swept.select(F.col("id").alias(column)), column, "left_anti").select(dependents.columns)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import owner_kind
+from ..sources.schema import PARTITION_SIZE
 from .claims import UNRESOLVED
 
+COUNTED_GROUPS = 1000
+
 
 def groups(cursors: DataFrame, exceptions: DataFrame, leases: DataFrame, log: DataFrame, now: Column) -> DataFrame:
     """Per group: positions, backlog and inflight (not below zero), exceptions by status, age of the oldest unresolved, open leases."""
@@ -42,20 +45,26 @@ def version_counts(log: DataFrame, heads: DataFrame) -> DataFrame:
 def version_lag(log: DataFrame, cursors: DataFrame, exceptions: DataFrame, version: int) -> DataFrame:
     """Per group: messages at a version above its committed id, and unresolved exceptions at it.
 
-    The messages are counted once per distinct cursor position: a pass over the log with a
-    conditional count per group, as the groups of a stream are few and checked so.
+    The groups of a stream are few: a pass over the log with a conditional count per group.
+    Where they are more than ``COUNTED_GROUPS``, messages are counted by id range; a group's
+    count is that of the ranges above its position, and of the messages above it in its own range.
     """
     at = log.where(F.col("schema_version") == version).select("id")
-    marks = cursors.select("consumer_group_id", "committed").limit(1001).collect()
+    marks = cursors.select("consumer_group_id", "committed").limit(COUNTED_GROUPS + 1).collect()
     spark = log.sparkSession
-    if 0 < len(marks) <= 1000:
+    if 0 < len(marks) <= COUNTED_GROUPS:
         counted = at.agg(*[F.count_if(F.col("id") > r["committed"]).alias(f"g{i}") for i, r in enumerate(marks)])
         rows = F.explode(F.array(*[F.struct(F.lit(r["consumer_group_id"]).cast("long").alias("consumer_group_id"), F.col(f"g{i}").alias("unconsumed")) for i, r in enumerate(marks)]))
         above = counted.select(rows.alias("r")).select("r.*")
     elif not marks:
         above = spark.createDataFrame([], "consumer_group_id long, unconsumed long")
     else:
-        above = cursors.join(at, F.col("id") > F.col("committed")).groupBy("consumer_group_id").agg(F.count("*").alias("unconsumed"))
+        ids, places = at.withColumn("_range", F.expr(f"id div {PARTITION_SIZE}")), cursors.withColumn("_range", F.expr(f"committed div {PARTITION_SIZE}"))
+        later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+        both = places.select("_range").distinct().join(ids.groupBy("_range").agg(F.count("*").alias("_n")), "_range", "full")
+        beyond = both.select("_range", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_beyond"))
+        inside = places.join(ids, "_range").where("id > committed").groupBy("consumer_group_id").agg(F.count("*").alias("_inside"))
+        above = places.join(beyond, "_range").join(inside, "consumer_group_id", "left").select("consumer_group_id", (F.col("_beyond") + F.coalesce("_inside", F.lit(0))).alias("unconsumed"))
     x = exceptions.where(F.col("status").isin(*UNRESOLVED)).join(at.select(F.col("id").alias("message_id")), "message_id", "left_semi").groupBy("consumer_group_id").agg(F.count("*").alias("unresolved"))
     out = cursors.select("consumer_group_id").join(above, "consumer_group_id", "left").join(x, "consumer_group_id", "left")
     return out.select("consumer_group_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("unconsumed", "unresolved")])

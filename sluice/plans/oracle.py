@@ -19,7 +19,7 @@ TABLES: dict[str, str] = {
             FROM message_log WHERE compaction_rank IS NOT NULL AND message_key IS NOT NULL) WHERE rn = 1""",
     "compaction_head": f"""
         SELECT * FROM kept_head UNION ALL
-        SELECT 'idle:' || CAST(c_custkey AS VARCHAR), NULL, NULL, NULL, {NOW} - to_hours(c_custkey % 100), {NOW} - to_hours(c_custkey % 100) FROM customer WHERE c_custkey % 50 = 0""",
+        SELECT 'idle:' || CAST(s_suppkey AS VARCHAR), NULL, NULL, NULL, {NOW} - to_hours(s_suppkey % 100), {NOW} - to_hours(s_suppkey % 100) FROM supplier""",
     "binding_config": "SELECT * FROM (VALUES (1, 'click.*', '^click[.].*$'), (1, 'error.1', '^error[.]1$'), (2, '*.2', '^.*[.]2$')) AS b(consumer_group_id, pattern, pattern_regex)",
     "consumer_group_config": "SELECT * FROM (VALUES (1, 1, 'billing'), (2, 1, 'audit'), (3, 1, 'search'), (4, 2, 'idle')) AS g(id, stream_id, name)",
     "consumer_group_cursor": """
@@ -37,8 +37,8 @@ TABLES: dict[str, str] = {
         UNION ALL SELECT 2, 't3', n * 99 // 100, n, {NOW} + INTERVAL 5 MINUTE, 0 FROM bounds""",
     "message_key_lease": f"""
         SELECT 1 + c_custkey % 2 AS consumer_group_id, 'user:' || CAST(c_custkey AS VARCHAR) AS message_key,
-               CASE WHEN c_custkey % 3 = 0 THEN {NOW} - INTERVAL 1 MINUTE ELSE {NOW} + INTERVAL 1 MINUTE END AS expires_at
-        FROM customer WHERE c_custkey < 150 AND c_custkey % 11 = 0""",
+               CASE WHEN c_custkey % 11 = 0 THEN {NOW} + INTERVAL 1 MINUTE ELSE {NOW} - INTERVAL 1 MINUTE END AS expires_at
+        FROM customer""",
     "delivery_log": """
         SELECT 1 + id % 2 AS consumer_group_id, id AS message_id, attempt,
                CASE (id + attempt) % 6 WHEN 0 THEN 'success' WHEN 1 THEN 'expired' WHEN 2 THEN 'deferred' WHEN 3 THEN 'killed' ELSE 'failure' END AS status,
@@ -48,7 +48,7 @@ TABLES: dict[str, str] = {
     "produced": """
         SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_orderkey % 2 = 0 THEN 'order-' ELSE 'line-' END || CAST(l_orderkey AS VARCHAR) AS idempotency_key,
                max('part:' || CAST(l_partkey % 40 AS VARCHAR)) AS message_key, max(l_partkey) AS compaction_rank
-        FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 3 = 0 GROUP BY 1, 2""",
+        FROM lineitem GROUP BY 1, 2""",
     "binding_config_log": f"""
         SELECT *, {NOW} - to_hours(20 - id) AS declared_at FROM (VALUES
             (1, 1, 'installed', ['click.*'], 'a'), (2, 1, 'waiting', ['click.*', 'error.1'], 'b'), (3, 1, 'waiting', ['error.1'], 'c'), (4, 1, 'installed', ['click.*', 'error.1'], 'b'),
@@ -60,10 +60,10 @@ TABLES: dict[str, str] = {
                CASE WHEN s_suppkey % 3 = 0 THEN 1 + s_suppkey % 4 END AS consumer_group_id, CAST(s_suppkey % 4 - 1 AS INTEGER) AS target_instances,
                '{{"rate": ' || CAST(s_suppkey % 7 AS VARCHAR) || '}}' AS metadata, {NOW} - to_hours(s_suppkey) AS created_at FROM supplier""",
     "worker_instance": f"""
-        SELECT c_custkey // 5 AS n, c_custkey % 97 AS worker_id, 'i' || CAST(c_custkey AS VARCHAR) AS token,
+        SELECT c_custkey AS n, c_custkey % 97 AS worker_id, 'i' || CAST(c_custkey AS VARCHAR) AS token,
                CASE WHEN c_custkey % 4 = 0 THEN {NOW} + INTERVAL 30 SECOND ELSE {NOW} - to_minutes(c_custkey % 60 + 1) END AS expires_at,
-               CAST(c_custkey % 3 AS INTEGER) AS attempts, {NOW} - to_hours(c_custkey % 200) AS created_at FROM customer WHERE c_custkey % 5 = 0""",
-    "worker_instance_log": "SELECT event_id AS id, user_id % 10 AS worker_id, ts AS started_at, ts + to_minutes(10 + event_id % 291) AS expires_at FROM events WHERE event_id % 20 = 0",
+               CAST(c_custkey % 3 AS INTEGER) AS attempts, {NOW} - to_hours(c_custkey % 200) AS created_at FROM customer""",
+    "worker_instance_log": "SELECT event_id AS id, user_id % 10 AS worker_id, ts AS started_at, ts + to_minutes(1 + event_id % 30) AS expires_at FROM events",
     "schedule_config": "SELECT * FROM (VALUES (1, 'click.1', 1, false), (2, 'error.1', 1, false), (3, 'view.2', 1, true), (4, 'signup.3', 1, false)) AS s(id, name, stream_id, suspended)",
     "schedule_cursor": f"SELECT schedule_id, {NOW} + to_minutes(m) AS next_at FROM (VALUES (1, -31), (2, -5), (3, -500), (4, 60)) AS s(schedule_id, m)",
     "migration_log": """SELECT * FROM (VALUES (1, 'system', 1, 1, 1, 'success'), (2, 'stream', 1, 1, 1, 'success'), (3, 'system', 1, 2, 1, 'failure'), (4, 'system', 1, 2, 1, 'success'),
@@ -71,7 +71,7 @@ TABLES: dict[str, str] = {
     "measurement": """
         SELECT min(event_id) AS id, 'app.' || event_type AS name, CASE WHEN event_type = 'error' THEN 'counter' ELSE 'gauge' END AS kind, '{event}' AS unit, CAST(count(*) AS DOUBLE) AS value,
                'app.' || event_type || '|area=' || CAST(user_id % 3 AS VARCHAR) || ',user=' || CAST(user_id AS VARCHAR) AS message_key, user_id % 3 AS area, date_trunc('hour', ts) AS seen
-        FROM events WHERE user_id < 30 GROUP BY event_type, user_id, date_trunc('hour', ts)""",
+        FROM events GROUP BY event_type, user_id, date_trunc('hour', ts)""",
     "routine_event": """
         SELECT CASE WHEN event_type = 'error' THEN 'abandoned' ELSE 'cleared' END AS type, event_id % 400 AS message_id, event_id % 3 AS attempt, epoch_us(ts) AS at_us, 'group.' || CAST(event_id % 2 AS VARCHAR) AS routing_key
         FROM events WHERE event_type IN ('error', 'view')""",
@@ -79,7 +79,7 @@ TABLES: dict[str, str] = {
         SELECT user_id AS subject, event_id AS id, epoch_us(ts) AS seen, CASE WHEN event_id % 29 = 0 THEN 'insufficient_evidence' WHEN value < 2 THEN 'healthy' ELSE 'active' END AS state FROM events""",
     "alert_head": f"""
         SELECT c_custkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'resolved' ELSE 'active' END AS status, CASE WHEN c_custkey % 5 = 0 THEN 'critical' ELSE 'warn' END AS severity, {NOW} - to_hours(c_custkey % 9) AS created_at
-        FROM customer WHERE c_custkey < 150 AND c_custkey % 2 = 0""",
+        FROM (SELECT DISTINCT o_custkey AS c_custkey FROM orders)""",
 }
 
 #: Tables that the text of another one reads.

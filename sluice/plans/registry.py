@@ -129,9 +129,9 @@ def _(t):
     return _eligible(t, 1)
 
 
-@query("o05_eligible_read_one_binding", _ELIGIBLE.format(group=2, version=1, high=9000))
+@query("o05_eligible_read_one_binding", _ELIGIBLE.format(group=2, version=1, high="9000 * (SELECT n FROM bounds) // 10000"))
 def _(t):
-    return _eligible(t, 2, high=9000)
+    return _eligible(t, 2, high=9000 * t.max_id // 10000)
 
 
 @query("o05_eligible_read_all", _ELIGIBLE.format(group=3, version=1, high=10**12))
@@ -368,11 +368,11 @@ def _(t):
 
 @query(
     "o13_retry_curve",
-    """WITH a AS (SELECT CAST(s_suppkey AS INTEGER) AS attempt FROM supplier WHERE s_suppkey < 20)
+    """WITH a AS (SELECT CAST(s_suppkey AS INTEGER) AS attempt FROM supplier)
        SELECT attempt, CAST(least(1000 * pow(2, attempt), 300000) AS BIGINT) AS delay_ms, CAST(coalesce((SELECT sum(least(1000 * pow(2, b.attempt), 300000)) FROM a b WHERE b.attempt <= a.attempt - 2), 0) AS BIGINT) AS total_ms FROM a""",
 )
 def _(t):
-    a = t.source("supplier").where("s_suppkey < 20").select(F.col("s_suppkey").cast("int").alias("attempt"))
+    a = t.source("supplier").select(F.col("s_suppkey").cast("int").alias("attempt"))
     base, top, by = F.lit(1000), F.lit(300_000), F.lit(2.0)
     return a.select("attempt", expr.retry_delay(F.col("attempt"), base, top, by).alias("delay_ms"), expr.total_delay(F.col("attempt"), base, top, by).alias("total_ms"))
 
@@ -434,11 +434,11 @@ def _(t):
     return retention.partitions(t.message_log, PARTITION).select("part")
 
 
-_SWEEP = f"SELECT m.* FROM message_log m JOIN ({_PARTS}) p ON p.part = m.id // {PARTITION} WHERE p.oldest_at < NOW() - INTERVAL 400 HOUR AND m.created_at < NOW() - INTERVAL 400 HOUR AND m.id <= (SELECT min(committed) FROM consumer_group_cursor)"
+_SWEEP = f"SELECT m.* FROM message_log m JOIN ({_PARTS}) p ON p.part = m.id // {PARTITION} WHERE p.oldest_at < NOW() - INTERVAL 350 HOUR - INTERVAL 50 HOUR AND m.created_at < NOW() - INTERVAL 350 HOUR - INTERVAL 50 HOUR AND m.id <= (SELECT min(committed) FROM consumer_group_cursor)"
 
 
 def _sweepable(t):
-    return retention.sweepable(t.message_log, PARTITION, t.max_id, hours(400), now(), retention.floor(t.consumer_group_cursor))
+    return retention.sweepable(t.message_log, PARTITION, hours(350), now(), retention.floor(t.consumer_group_cursor), grace=hours(50))
 
 
 @query("o17_sweepable_rows", f"WITH s AS ({_SWEEP}) SELECT id FROM s")
@@ -446,9 +446,9 @@ def _(t):
     return _sweepable(t).select("id")
 
 
-@query("o17_sweep_batch", f"WITH s AS ({_SWEEP}) SELECT id FROM s ORDER BY id LIMIT 1000")
+@query("o17_sweep_batch", f"WITH s AS ({_SWEEP}) SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY id // {PARTITION} ORDER BY id) AS n FROM s) WHERE n <= 100")
 def _(t):
-    return retention.first_batch(_sweepable(t).select("id"), [F.col("id")], 1000)
+    return retention.first_of_each(_sweepable(t).select("id", "part"), 100).select("id")
 
 
 @query("o17_orphan_delivery_rows", f"WITH s AS ({_SWEEP}) SELECT consumer_group_id, message_id, attempt, status FROM delivery_log WHERE message_id IN (SELECT id FROM s)")
@@ -682,7 +682,7 @@ _WALK = """WITH s AS (SELECT subject, seen, arg_max(state, id) AS state FROM eva
   r AS (SELECT *, sum(CASE WHEN state <> 'active' OR coalesce(gap, 0) > {gap} * CAST(1000000 AS BIGINT) THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY seen DESC) AS breaks FROM w),
   span AS (SELECT subject, max(seen) - min(seen) AS us FROM r WHERE breaks = 0 GROUP BY 1),
   result AS (SELECT c.subject, CASE WHEN newest.seen IS NULL OR newest.seen > {now} OR {now} - newest.seen > {gap} * CAST(1000000 AS BIGINT) OR newest.state = 'insufficient_evidence' THEN 'insufficient_evidence' WHEN newest.state <> 'active' THEN newest.state WHEN coalesce(span.us, 0) >= {pending} * CAST(1000000 AS BIGINT) THEN 'active' ELSE 'pending' END AS state, coalesce(span.us, 0) AS us
-    FROM (SELECT DISTINCT c_custkey AS subject FROM customer WHERE c_custkey < 160) c LEFT JOIN newest USING (subject) LEFT JOIN span USING (subject))"""
+    FROM (SELECT DISTINCT c_custkey AS subject FROM customer) c LEFT JOIN newest USING (subject) LEFT JOIN span USING (subject))"""
 _PENDING, _GAP = 36 * 3600, 30 * 3600
 
 
@@ -691,7 +691,7 @@ def _walk(body: str) -> str:
 
 
 def _evaluated(t):
-    subjects = t.source("customer").where("c_custkey < 160").select(F.col("c_custkey").alias("subject"))
+    subjects = t.source("customer").select(F.col("c_custkey").alias("subject"))
     return alerts.evaluated(t.evaluation, subjects, now(), _PENDING, _GAP)
 
 
@@ -772,12 +772,13 @@ def _(t):
 
 @query(
     "o28_cron_minutes",
-    "SELECT u.user_id, epoch_us(m) AS scheduled_us FROM (SELECT user_id, min(ts) AS a FROM events WHERE user_id < 5 GROUP BY 1) u, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 MINUTE) g(m) WHERE m >= u.a AND m <= u.a + INTERVAL 20 DAY AND minute(m) IN (7, 27, 47) AND hour(m) IN (3, 4) AND (day(m) IN (1, 15) OR dayofweek(m) = 1)",
+    """WITH fires AS (SELECT m FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 1 MINUTE) g(m) WHERE minute(m) IN (7, 27, 47) AND hour(m) IN (3, 4) AND (day(m) IN (1, 15) OR dayofweek(m) = 1))
+       SELECT u.user_id, epoch_us(m) AS scheduled_us FROM (SELECT user_id, min(ts) AS a FROM events GROUP BY 1) u JOIN fires ON m >= u.a AND m <= u.a + INTERVAL 20 DAY""",
 )
 def _(t):
     from ..functions import cron
 
-    u = t.source("events").where("user_id < 5").groupBy("user_id").agg(F.min(F.col("ts").cast("timestamp")).alias("a"))
+    u = t.source("events").groupBy("user_id").agg(F.min(F.col("ts").cast("timestamp")).alias("a"))
     at = cron.minutes(u, cron.schedulable("7/20 3,4 1,15 * Mon"), F.col("a"), F.col("a") + F.expr("interval 20 days"))
     return at.select("user_id", F.unix_micros("scheduled_at").alias("scheduled_us"))
 

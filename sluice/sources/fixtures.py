@@ -70,11 +70,11 @@ class Tables:
         m = self.message_log.where("compaction_rank is not null and message_key is not null")
         h = m.groupBy(F.col("message_key").alias("compaction_key")).agg(F.max(F.struct("schema_version", "compaction_rank", "id", "created_at")).alias("h"))
         kept = h.select("compaction_key", F.col("h.id").alias("message_id"), "h.schema_version", "h.compaction_rank", "h.created_at", F.col("h.created_at").alias("updated_at"))
-        empty = self.source("customer").where("c_custkey % 50 = 0").select(
-            F.concat(F.lit("idle:"), text(F.col("c_custkey"))).alias("compaction_key"),
+        empty = self.source("supplier").select(
+            F.concat(F.lit("idle:"), text(F.col("s_suppkey"))).alias("compaction_key"),
             F.lit(None).cast("long").alias("message_id"), F.lit(None).cast("int").alias("schema_version"), F.lit(None).cast("long").alias("compaction_rank"),
-            (now() - F.make_dt_interval(hours=F.col("c_custkey").cast("int") % 100)).alias("created_at"),
-            (now() - F.make_dt_interval(hours=F.col("c_custkey").cast("int") % 100)).alias("updated_at"),
+            (now() - F.make_dt_interval(hours=F.col("s_suppkey").cast("int") % 100)).alias("created_at"),
+            (now() - F.make_dt_interval(hours=F.col("s_suppkey").cast("int") % 100)).alias("updated_at"),
         )
         return kept.union(empty)
 
@@ -126,10 +126,9 @@ class Tables:
     @cached_property
     def message_key_lease(self) -> DataFrame:
         u = F.col("c_custkey")
-        c = self.source("customer").where("c_custkey < 150 and c_custkey % 11 = 0")
-        return c.select(
+        return self.source("customer").select(
             (1 + u % 2).alias("consumer_group_id"), F.concat(F.lit("user:"), text(u)).alias("message_key"),
-            F.when(u % 3 == 0, now() - F.expr("interval 1 minute")).otherwise(now() + F.expr("interval 1 minute")).alias("expires_at"),
+            F.when(u % 11 == 0, now() + F.expr("interval 1 minute")).otherwise(now() - F.expr("interval 1 minute")).alias("expires_at"),
         )
 
     @cached_property
@@ -151,7 +150,7 @@ class Tables:
     @cached_property
     def produced(self) -> DataFrame:
         """A batch to append: rows with caller keys, some known, some repeated in the batch."""
-        li = self.source("lineitem").where("l_linenumber <= 2 and l_orderkey % 3 = 0")
+        li = self.source("lineitem")
         seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
         key = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("order-"), text(F.col("l_orderkey")))).otherwise(F.concat(F.lit("line-"), text(F.col("l_orderkey"))))
         return li.groupBy(seq.alias("seq"), key.alias("idempotency_key")).agg(F.max(F.concat(F.lit("part:"), text(F.col("l_partkey") % 40))).alias("message_key"), F.max(F.col("l_partkey")).alias("compaction_rank"))
@@ -185,19 +184,19 @@ class Tables:
 
     @cached_property
     def worker_instance(self) -> DataFrame:
-        c, k = self.source("customer").where("c_custkey % 5 = 0"), F.col("c_custkey")
+        c, k = self.source("customer"), F.col("c_custkey")
         return c.select(
-            (k / 5).cast("long").alias("n"), (k % 97).alias("worker_id"), F.concat(F.lit("i"), text(k)).alias("token"),
+            k.alias("n"), (k % 97).alias("worker_id"), F.concat(F.lit("i"), text(k)).alias("token"),
             F.when(k % 4 == 0, now() + F.expr("interval 30 seconds")).otherwise(now() - F.make_dt_interval(mins=k.cast("int") % 60 + 1)).alias("expires_at"),
             (k % 3).cast("int").alias("attempts"), (now() - F.make_dt_interval(hours=k.cast("int") % 200)).alias("created_at"),
         )
 
     @cached_property
     def worker_instance_log(self) -> DataFrame:
-        """Lease intervals of the collector: from each 20th event of a user, for 10 to 300 minutes."""
-        e = self.source("events").where("event_id % 20 = 0")
+        """Lease intervals of the collector: from each event of a user, for 1 to 30 minutes."""
+        e = self.source("events")
         start = F.col("ts").cast("timestamp")
-        return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("worker_id"), start.alias("started_at"), (start + F.make_dt_interval(mins=(10 + F.col("event_id") % 291).cast("int"))).alias("expires_at"))
+        return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("worker_id"), start.alias("started_at"), (start + F.make_dt_interval(mins=(1 + F.col("event_id") % 30).cast("int"))).alias("expires_at"))
 
     @cached_property
     def schedule_config(self) -> DataFrame:
@@ -218,7 +217,7 @@ class Tables:
     @cached_property
     def measurement(self) -> DataFrame:
         """Hourly counts of a user's events of one type, and their values, as gauges and counters."""
-        e = self.source("events").where("user_id < 30")
+        e = self.source("events")
         g = e.groupBy("event_type", "user_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("at")).agg(F.count("*").alias("n"), F.min("event_id").alias("id"))
         return g.select(
             "id", F.concat(F.lit("app."), "event_type").alias("name"), F.when(F.col("event_type") == "error", "counter").otherwise("gauge").alias("kind"), F.lit("{event}").alias("unit"),
@@ -237,15 +236,15 @@ class Tables:
 
     @cached_property
     def evaluation(self) -> DataFrame:
-        """Condition samples of 150 subjects: active unless the value is low, insufficient now and then."""
+        """Condition samples of all users: active unless the value is low, insufficient now and then."""
         e, k = self.source("events"), F.col("event_id")
         state = F.when(k % 29 == 0, "insufficient_evidence").when(F.col("value") < 2, "healthy").otherwise("active")
         return e.select(F.col("user_id").alias("subject"), k.alias("id"), F.col("ts").cast("timestamp").alias("created_at"), state.alias("state"))
 
     @cached_property
     def alert_head(self) -> DataFrame:
-        """What was last published for every second subject."""
-        c, k = self.source("customer").where("c_custkey < 150 and c_custkey % 2 = 0"), F.col("c_custkey")
+        """What was last published for the subjects of orders; a customer without orders has nothing."""
+        c, k = self.source("orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), F.col("c_custkey")
         return c.select(k.alias("subject"), F.when(k % 3 == 0, "resolved").otherwise("active").alias("status"), F.when(k % 5 == 0, "critical").otherwise("warn").alias("severity"), (now() - F.make_dt_interval(hours=k.cast("int") % 9)).alias("created_at"))
 
 

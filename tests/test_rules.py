@@ -141,3 +141,18 @@ def test_declarations_and_support(spark):
     assert control.declaration_outcome(True, ["a"], ["b"], False) == "installed"
     rows = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (3, 3)], "v int, m int").select(control.support(F.col("v"), F.col("m"), 2)).collect()
     assert [r[0] for r in rows] == ["older", "supported", "supported", "newer"]
+
+
+def test_many_groups_and_patterns_take_the_shuffled_ways(spark, monkeypatch):
+    from sluice.operators import reads, snapshots
+
+    log = spark.range(1, 5001).selectExpr("id * 997 as id", "1 as schema_version", "concat('k.', id % 50) as routing_key")
+    cursors = spark.range(40).selectExpr("id as consumer_group_id", "id * 150000 as committed")
+    none = spark.createDataFrame([], "consumer_group_id long, message_id long, status string")
+    few = sorted(map(tuple, snapshots.version_lag(log, cursors, none, 1).collect()))
+    monkeypatch.setattr(snapshots, "COUNTED_GROUPS", 3)
+    assert sorted(map(tuple, snapshots.version_lag(log, cursors, none, 1).collect())) == few and few[0][1] == 5000
+    bindings = spark.createDataFrame([(1, f"^k[.]{i}$") for i in range(5)], "consumer_group_id long, pattern_regex string")
+    want = sorted(r.id for r in reads.bound(log, bindings, 1).collect())
+    monkeypatch.setattr(reads, "INLINE_BINDINGS", 2)
+    assert sorted(r.id for r in reads.bound(log, bindings, 1).collect()) == want and len(want) == 500
