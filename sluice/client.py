@@ -6,6 +6,8 @@ a store, so what a database would guard by row locks is guarded by that.
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
@@ -20,6 +22,8 @@ from .sources.store import Store
 from .streaming.consume import Group, Handler
 
 DAY = 86400 * 10**9
+#: How much longer than its retention a message stays where its partition isn't dropped whole.
+SWEEP_GRACE = timedelta(minutes=10)
 #: Retention and logging of the system's own streams (fixed values).
 SYSTEM_STREAMS = {"__system.metrics": (DAY, "off", True), "__system.alerts": (7 * DAY, "failures", False), "__system.schedules": (35 * DAY, "all", False)}
 
@@ -108,8 +112,6 @@ class System:
 
     def produce_measurements(self, rows: list[dict]) -> None:
         """Append measurements; names, units and the reserved prefix are checked."""
-        import json
-
         for r in rows:
             if not r.get("name") or r.get("kind") not in ("gauge", "counter"):
                 raise ValueError("a measurement needs a name and a kind of gauge or counter")
@@ -130,15 +132,22 @@ class System:
         c, at = self.client, F.lit(self.client.now())
         streams, groups = c.table("stream_config"), c.table("consumer_group_config")
         workers = snapshots.workers(c.table("worker_config"), c.table("worker_instance"), streams, groups, at)
-        found = [metrics.worker_gauges(workers, at), metrics.schedule_gauges(snapshots.schedules(c.table("schedule_config"), c.table("schedule_cursor"), streams, at), at)]
-        for r in streams.select("name").toLocalIterator():
+        idle = {r["stream"]: r["names"] for r in workers.where("stream is not null and state = 'unclaimed'").groupBy("stream").agg(F.sort_array(F.collect_list("name")).alias("names")).collect()}
+        members: dict = {}
+        for g in groups.select("stream_id", "name").collect():
+            members.setdefault(g["stream_id"], []).append(g["name"])
+        every = metrics.worker_gauges(workers, at).unionByName(metrics.schedule_gauges(snapshots.schedules(c.table("schedule_config"), c.table("schedule_cursor"), streams, at), at))
+        for r in streams.select("id", "name").collect():
             s = c.stream(r["name"])
-            unclaimed = workers.where((F.col("stream") == s.name) & (F.col("state") == "unclaimed")).count()
-            found.append(metrics.stream_gauges(s.metrics(), s.name, unclaimed, at))
-            if s.name != "__system.metrics":
-                found += [metrics.group_gauges(s.consumer(g["name"]).metrics(), groups, s.name, at) for g in s.consumers().toLocalIterator()]
-        known = {name: (kind, unit) for name, kind, unit, _ in metrics.definitions()}
-        rows = [{"name": m["name"], "kind": known[m["name"]][0], "unit": known[m["name"]][1], "value": m["value"], "attributes": dict(m["attributes"] or {})} for df in found for m in df.toLocalIterator()]
+            every = every.unionByName(metrics.stream_gauges(s.metrics(), s.name, len(idle.get(s.name, ())), at))
+            for name in members.get(r["id"], []) if s.name != "__system.metrics" else []:
+                every = every.unionByName(metrics.group_gauges(s.consumer(name).metrics(), groups, s.name, at))
+        known, rows = {name: (kind, unit) for name, kind, unit, _ in metrics.definitions()}, []
+        for m in every.collect():  # one job for all streams and groups
+            row = {"name": m["name"], "kind": known[m["name"]][0], "unit": known[m["name"]][1], "value": m["value"], "attributes": dict(m["attributes"] or {})}
+            if m["name"] == "stream.workers.unclaimed":
+                row["metadata"] = json.dumps({"workers": idle.get(row["attributes"]["stream"], [])})
+            rows.append(row)
         done = {"name": "metrics.collector.completed_timestamp", "kind": "gauge", "unit": "s", "value": c.now().timestamp(), "attributes": {}}
         self.produce_measurements([*rows, done])
         return len(rows) + 1
@@ -148,6 +157,92 @@ class System:
         s = Stream(self.client, "__system.alerts")
         return heads.listed(s.heads(), s.log())
 
+    def alert(self, name: str) -> Alert:
+        return Alert(self.client, name)
+
+    def check_alerts(self, partition_threshold: int = 1000, poll_s: int = 30) -> dict[str, int]:
+        """Evaluate every alert over the retained measurements and publish what changed; counts of the run.
+
+        Alerts have a row for each stream, so what is published is gathered and appended as one batch.
+        """
+        c, at = self.client, F.lit(self.client.now())
+        subjects = c.table("stream_config").select(F.col("name").alias("subject"))
+        m = self.measurements().withColumn("subject", F.element_at("attributes", "stream")).withColumn("created_at", F.col("at"))
+        partitions = m.where("name = 'stream.state.partitions'")
+        compacted = m.where("name = 'stream.state.compacted'").groupBy("subject").agg((F.max_by("value", "id") > 0).alias("compacted"))
+        samples = {
+            "partition_count": alerts.partition_evidence(partitions, partition_threshold, 0),
+            "compaction_read_cost": alerts.read_cost_evidence(partitions.join(compacted, "subject", "left")),
+            "worker_liveness": alerts.liveness_evidence(m.where("name = 'stream.workers.unclaimed'")),
+        }
+        found = [alerts.evaluated(s.select("subject", "id", "created_at", "state"), subjects, at).withColumn("alert", F.lit(name)) for name, s in samples.items()]
+        done = m.where("name = 'metrics.collector.completed_timestamp'").agg(F.max("value")).first()[0]
+        age = None if done is None else c.now().timestamp() - done
+        state = "insufficient_evidence" if age is None or age < 0 else "active" if age > max(120, 3 * poll_s) else "healthy"
+        found.append(c.spark.createDataFrame([("system", state, 0, "metrics_collector_progress")], "subject string, state string, observed_us long, alert string"))
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        last = self.alerts().select(F.from_json("payload", ALERT_PAYLOAD).alias("p"), "created_at").select(F.concat_ws("|", "p.name", "p.owner").alias("subject"), "p.status", "p.severity", "created_at")
+        findings = every.select(F.concat_ws("|", "alert", "subject").alias("subject"), "state", F.lit("warn").alias("severity"))
+        results = alerts.published(findings, last, at).cache()
+        try:
+            news = results.where("published is not null").select("subject", "published").collect()
+            summary = alerts.check_summary(results).first().asDict()
+        finally:
+            results.unpersist()
+        conditions = {name: text for name, _, text in alerts.ALERTS}
+        items = []
+        for r in news:
+            name, owner = r["subject"].split("|", 1)
+            payload = {"name": name, "owner": owner, "status": r["published"], "severity": "warn", "message": conditions[name]}
+            items.append({"payload": json.dumps(payload), "routing_key": f"{name}.{r['published']}", "message_key": r["subject"], "compaction_rank": 0})
+        if items:
+            Stream(c, "__system.alerts").produce(items)
+        return summary
+
+    def janitor(self, waiting_ttl: timedelta = timedelta(days=7), log_ttl: timedelta = timedelta(days=30)) -> dict[str, int]:
+        """One pass over the control tables: expired worker instances, their old log, and old waiting declarations."""
+        c, at = self.client, F.lit(self.client.now())
+        ttl = lambda d: F.make_dt_interval(secs=F.lit(d.total_seconds()))
+        old = {
+            "worker_instance": (retention.expired_leases(c.table("worker_instance"), at), "token"),
+            "worker_instance_log": (retention.expired_leases(c.table("worker_instance_log"), at - ttl(log_ttl)), "id"),
+            "binding_config_log": (retention.stale_waiting(c.table("binding_config_log"), ttl(waiting_ttl), at), "id"),
+        }
+        done = {}
+        for name, (gone, key) in old.items():
+            done[name] = gone.count()
+            if done[name]:
+                t = c.table(name)
+                c.store.replace(f"control/{name}", t.join(gone.select(key), key, "left_anti").select(t.columns))
+        return done
+
+
+ALERT_PAYLOAD = "name string, owner string, status string, severity string, message string"
+
+
+class Alert:
+    """What was published about one alert."""
+
+    def __init__(self, client: Client, name: str):
+        if name not in {a[0] for a in alerts.ALERTS}:
+            raise ValueError(f"no alert is named {name}")
+        self.client, self.name = client, name
+
+    def _payloads(self, rows: DataFrame) -> DataFrame:
+        read = rows.select("id", "created_at", F.from_json("payload", ALERT_PAYLOAD).alias("p")).select("id", "created_at", "p.*")
+        return read.where(F.col("name") == self.name)
+
+    def current(self) -> DataFrame:
+        """The latest state for each owner."""
+        return self._payloads(self.client.system.alerts())
+
+    def history(self, owner: str | None = None) -> DataFrame:
+        """All retained changes, newest first."""
+        rows = self._payloads(Stream(self.client, "__system.alerts").log())
+        return (rows if owner is None else rows.where(F.col("owner") == owner)).orderBy(F.desc("id"))
+
 
 class Metrics:
     """Retained series."""
@@ -233,20 +328,22 @@ class Stream:
 
     def produce(self, items: list[dict], batch_id: str | None = None) -> list:
         """Append messages given as dicts; options are checked, the whole list is one unit.  For DataFrames use ``Store.produce``."""
-        s, now, made = self.get(), self.client.now(), []
-        import uuid
+        for m in items:
+            if m.get("schema_version", 1) < 1:
+                raise ValueError("schema_version must be at least 1")
+            rank = m.get("compaction_rank")
+            expr.validate_options(m.get("message_key"), m.get("concurrency", "parallel"), rank is not None, rank)
+        s = self.get()
+        return self.store.produce(s["id"], self._batch(items), batch_id, s["partition_size"]).orderBy("seq").collect()
 
+    def _batch(self, items: list[dict]) -> DataFrame:
+        """Messages given as dicts, in order, as a batch; those without an idempotency key get one."""
+        now, made = self.client.now(), []
         for i, m in enumerate(items):
-            version = m.get("schema_version", 1)
-            if version < 1:
-                raise ValueError("schema_version must be at least 1")
-            rank, policy = m.get("compaction_rank"), m.get("concurrency", "parallel")
-            expr.validate_options(m.get("message_key"), policy, rank is not None, rank)
-            key = m.get("idempotency_key") or ""
-            made.append((i, key or str(uuid.uuid4()), version, m.get("routing_key"), m.get("message_key"), rank, m.get("payload"), policy, m.get("created_at", now)))
+            key = m.get("idempotency_key") or str(uuid.uuid4())
+            made.append((i, key, m.get("schema_version", 1), m.get("routing_key"), m.get("message_key"), m.get("compaction_rank"), m.get("payload"), m.get("concurrency", "parallel"), m.get("created_at", now)))
         kind = "seq long, idempotency_key string, schema_version int, routing_key string, message_key string, compaction_rank long, payload string, concurrency string, created_at timestamp"
-        batch = self.client.spark.createDataFrame(made, kind).withColumn("idempotency_key", expr.resolve_key(F.col("idempotency_key")))
-        return self.store.produce(s["id"], batch, batch_id, s["partition_size"]).orderBy("seq").collect()
+        return self.client.spark.createDataFrame(made, kind).withColumn("idempotency_key", expr.resolve_key(F.col("idempotency_key")))
 
     def key(self, key: str) -> Key:
         return Key(self, key)
@@ -280,10 +377,24 @@ class Stream:
     def alert_definitions(self) -> list[tuple[str, str, str]]:
         return [a for a in alerts.ALERTS if a[1] == "stream"]
 
+    def produce_each(self, items: list[dict]) -> list[dict]:
+        """Append the messages that may be appended; the others are reported and hold up nothing.
+
+        One dict for each item, in order: id, duplicate, and ``rejected``, the reason or None.
+        """
+        batch = log.validated(self._batch(items)).cache()
+        try:
+            bad = {r["seq"]: r["rejected"] for r in batch.where("rejected is not null").select("seq", "rejected").collect()}
+            s = self.get()
+            done = {r["seq"]: r for r in self.store.produce(s["id"], batch.where("rejected is null").drop("rejected"), None, s["partition_size"]).collect()}
+        finally:
+            batch.unpersist()
+        return [{"id": done[i]["id"] if i in done else 0, "duplicate": i in done and done[i]["duplicate"], "rejected": bad.get(i)} for i in range(len(items))]
+
     def janitor(self, now: datetime | None = None) -> dict[str, int]:
-        """One retention pass: whole partitions, then idempotency keys and idle heads."""
+        """One retention pass: whole partitions, expired rows of the others, then idempotency keys and idle heads."""
         s, at = self.get(), now or self.client.now()
-        done = {"partitions": 0, "keys": 0, "heads": 0}
+        done = {"partitions": 0, "rows": 0, "keys": 0, "heads": 0}
         when, size = F.lit(at), s["partition_size"]
         if s["retention_ns"] > 0:
             ttl = F.make_dt_interval(secs=F.lit(s["retention_ns"] / 10**9))
@@ -292,6 +403,7 @@ class Stream:
             parts = [r["part"] for r in old.select("part").toLocalIterator()]
             self.store.drop_parts(s["id"], parts)
             done["partitions"] = len(parts)
+            done["rows"] = self.store.sweep(s["id"], retention.sweepable(self.log(), size, ttl, when, floor, s["allow_drop_past_committed"], F.make_dt_interval(secs=F.lit(SWEEP_GRACE.total_seconds()))))
         ttl = F.make_dt_interval(secs=F.lit(s["key_ttl_ns"] / 10**9))
         for what, name, gone in (("keys", "idempotency_key", retention.expired_keys), ("heads", "compaction_head", retention.idle_heads)):
             t = self.store.table(f"{self.base}/{name}")
@@ -303,9 +415,9 @@ class Stream:
         return done
 
     def vacuum(self) -> None:
-        """Rewrite the key table into few files."""
-        t = self.store.table(f"{self.base}/idempotency_key")
-        self.store.replace(f"{self.base}/idempotency_key", t.coalesce(max(1, t.rdd.getNumPartitions() // 8)))
+        """Rewrite the key table into few files, and delete what failed attempts left behind."""
+        self.store.replace(f"{self.base}/idempotency_key", self.store.table(f"{self.base}/idempotency_key").repartition("idempotency_key"))
+        self.store.stream(self.get()["id"]).swept()
 
 
 class Key:
@@ -345,7 +457,7 @@ class Consumer:
             self.client.put("consumer_group_config", {"id": self.client.next_id("consumer_group_config"), "stream_id": self.stream.get()["id"], "name": self.name, "created_at": now})
             if position == "head":
                 g, at = self.group(), self.stream.store.head_id(self.stream.get()["id"])
-                g._commit({"claimed": at, "committed": at, "reclaims": 0}, None, None)
+                g._commit({"claimed": at, "committed": at, "reclaims": 0})
         me, stored = self.get(), self.binding()
         wanted = sorted(set(patterns))
         outcome = control.declaration_outcome(found is not None, stored, wanted, False)
@@ -381,8 +493,7 @@ class Consumer:
         g, me = self.group(bound=False), self.get()["id"]
         if not force and not g.exceptions().isEmpty():
             raise Condition("SQL0016", self.name)
-        for name in (f"group={me}", f"groups/{me}"):
-            self.stream.store.files.delete(f"{self.stream.base}/{name}")
+        self.stream.store.files.delete(f"{self.stream.base}/group={me}")
         for t, column in (("consumer_group_config", "id"), ("binding_config_log", "consumer_group_id")):
             self.stream.store.replace(f"control/{t}", self.client.table(t).where(F.col(column) != me))
 

@@ -1,70 +1,48 @@
-"""Streams as partitioned Parquet tables, with control tables beside them.
+"""Streams as partitioned Parquet tables under commit logs, with control tables beside them.
 
-A stream is a directory ``stream_id=N`` that holds its log by id range (``part``), its
-keys, heads, exceptions and delivery log.  One driver writes a stream; readers see whole
-batches.  Parquet has no in-place update, so tables that change are written to a new
-version and a pointer file is swapped; readers holding the old version keep it.
+A stream is a ledger (``ledger``) of its log by id range (``part``), its idempotency keys and its
+heads; a consumer group is one of its exceptions and delivery log, with its positions as the
+state; the control tables are one.  One driver writes a stream; readers see whole batches.
+
+Nothing is rewritten by a batch: keys and heads grow by the batch's own rows, exceptions by the
+rows that changed, and what a key's rows add up to is settled by readers and by merges.
 """
 
 from __future__ import annotations
 
-import json
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import heads as head_ops
 from ..operators import log as log_ops
-from .schema import PARTITION_SIZE, SCHEMAS, part, schema
+from .ledger import Files, Ledger, Table
+from .schema import PARTITION_SIZE, SCHEMAS, part
+from .shared import written
 
 
-class Files:
-    """Small text files in the store's file system."""
+def _heads(rows: DataFrame) -> DataFrame:
+    """The winner of each key over its rows: the greatest version, rank and id; an empty head gives way."""
+    order = F.struct("schema_version", "compaction_rank", "message_id")
+    best = rows.groupBy("compaction_key").agg(F.max(F.when(F.col("message_id").isNotNull(), order)).alias("h"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+    return best.select("compaction_key", "h.message_id", "h.schema_version", "h.compaction_rank", "created_at", "updated_at")
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def path(self, name: str):
-        p = self.jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        return p.getFileSystem(self.conf), p
-
-    def exists(self, name: str) -> bool:
-        fs, p = self.path(name)
-        return fs.exists(p)
-
-    def read(self, name: str) -> str | None:
-        fs, p = self.path(name)
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write(self, name: str, text: str) -> None:
-        """Replace a file whole: written aside, then renamed over."""
-        fs, p = self.path(name)
-        _, aside = self.path(name + ".new")
-        out = fs.create(aside, True)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(aside, p)
-
-    def delete(self, name: str) -> None:
-        fs, p = self.path(name)
-        fs.delete(p, True)
-
-    def names(self, name: str = "") -> list[str]:
-        fs, p = self.path(name)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest row of each message, by the commit that wrote it."""
+    columns = [c for c in rows.columns if c != "message_id"]
+    newest = rows.groupBy("message_id").agg(F.max_by(F.struct(*columns), "commit_number").alias("r"))
+    return newest.select(*[F.col("message_id") if c == "message_id" else F.col(f"r.{c}") for c in rows.columns])
+
+
+#: Exceptions are kept as changes: the commit that made the row, and whether it is gone since.
+EXCEPTION_CHANGES = f"{SCHEMAS['exception_queue']}, commit_number long, gone boolean"
+STREAM = {
+    "message_log": Table(SCHEMAS["message_log"], "part"),
+    "idempotency_key": Table(SCHEMAS["idempotency_key"]),
+    "compaction_head": Table(SCHEMAS["compaction_head"], merge=_heads),
+}
+GROUP = {"exception_queue": Table(EXCEPTION_CHANGES, merge=_newest, settle=lambda rows: rows.where("not gone")), "delivery_log": Table(SCHEMAS["delivery_log"])}
+CONTROL = {name: Table(ddl) for name, ddl in SCHEMAS.items()}
 
 
 class Store:
@@ -73,91 +51,136 @@ class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base, self.files = spark, base.rstrip("/"), Files(spark, base)
 
-    # versioned tables
+    def stream(self, stream_id: int) -> Ledger:
+        return Ledger(self.files, f"stream_id={stream_id}", STREAM)
+
+    def group(self, stream_id: int, group_id: int) -> Ledger:
+        return Ledger(self.files, f"stream_id={stream_id}/group={group_id}", GROUP)
+
+    def groups(self, stream_id: int) -> list[int]:
+        return [int(n[6:]) for n in self.files.names(f"stream_id={stream_id}") if n.startswith("group=")]
+
+    # tables by name: control/<table>, stream_id=<n>/<table>, stream_id=<n>/group=<n>/<table>
+
+    def _ledger(self, name: str) -> tuple[Ledger, str]:
+        base, kind = name.rsplit("/", 1)
+        tables = GROUP if "/group=" in base else STREAM if base.startswith("stream_id=") else CONTROL
+        return Ledger(self.files, base, tables), kind
 
     def table(self, name: str) -> DataFrame:
-        """Current version of a table; empty before the first write."""
-        kind = name.rsplit("/", 1)[-1]
-        found = self.files.read(f"{name}.current")
-        if found is None:
-            return self.spark.createDataFrame([], schema(kind))
-        return self.spark.read.schema(schema(kind)).parquet(f"{self.base}/{name}/{json.loads(found)['version']}")
-
-    def replace(self, name: str, df: DataFrame, keep: int = 2) -> None:
-        """Write a new version and point to it; older versions than the last ``keep`` are deleted."""
-        kind = name.rsplit("/", 1)[-1]
-        version = f"v{time.time_ns()}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema(kind)]).write.parquet(f"{self.base}/{name}/{version}")
-        self.files.write(f"{name}.current", json.dumps({"version": version}))
-        for old in self.files.names(name)[:-keep]:
-            self.files.delete(f"{name}/{old}")
+        """Current rows of a table; empty before the first write."""
+        ledger, kind = self._ledger(name)
+        rows = ledger.view(ledger.current(), kind)
+        return rows.where("not gone").drop("gone", "commit_number") if kind == "exception_queue" else rows
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        ledger, kind = self._ledger(name)
+        draft = ledger.draft()
+        if kind == "exception_queue":
+            df = df.withColumns({"commit_number": F.lit(draft["number"]), "gone": F.lit(False)})
+        ledger.replace(draft, kind, df)
+        ledger.publish(draft)
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Add rows to a control table."""
-        self.replace(name, self.table(name).unionByName(df.select(self.table(name).columns)))
+        """Add rows to a table."""
+        ledger, kind = self._ledger(name)
+        draft = ledger.draft()
+        ledger.add(draft, kind, df)
+        ledger.publish(draft)
 
     # logs
 
     def log(self, stream_id: int, low: int | None = None, high: int | None = None, size: int = PARTITION_SIZE) -> DataFrame:
         """The stream's messages, only those partitions that ``(low, high]`` can lie in."""
-        path = f"stream_id={stream_id}/message_log"
-        if not self.files.names(path):
-            return self.spark.createDataFrame([], schema("message_log").add("part", "long"))
-        df = self.spark.read.schema(f"{SCHEMAS['message_log']}, part long").parquet(f"{self.base}/{path}")
+        ledger = self.stream(stream_id)
+        df = ledger.view(ledger.current(), "message_log")
         if low is not None:
             df = df.where((F.col("part") >= (low + 1) // size) & (F.col("id") > low))
         if high is not None:
             df = df.where((F.col("part") <= high // size) & (F.col("id") <= high))
         return df
 
+    def log_path(self, stream_id: int) -> str:
+        """Where batches appear, for file streams.  Files of a failed attempt may be among them, and merged ones go after some commits."""
+        return f"{self.base}/stream_id={stream_id}/message_log"
+
     def head_id(self, stream_id: int) -> int:
-        """Highest id ever given out: ids are not used again, even if their rows were swept or never committed."""
-        return int(self.files.read(f"stream_id={stream_id}/head") or 0)
+        """Highest id ever given out: ids are not used again, even if their rows were swept."""
+        return int(self.stream(stream_id).current()["state"].get("head", 0))
 
     def produce(self, stream_id: int, batch: DataFrame, batch_id: str | None = None, size: int = PARTITION_SIZE) -> DataFrame:
         """Append a batch idempotently and return its plan (seq, id, duplicate).
 
         ``batch`` has seq, idempotency_key, schema_version, routing_key, message_key,
         compaction_rank, payload, concurrency and created_at.  A batch id that was committed
-        is a no-op.  Ids are reserved before rows are written, so a failed attempt leaves a
-        gap, and a retry of the same batch replaces what the attempt left.
+        is a no-op.  Log, keys, heads, the highest id and the batch id become visible by one
+        commit, so an attempt that failed anywhere has done nothing, and its ids are given to the next.
         """
-        base = f"stream_id={stream_id}"
-        if batch_id is not None and self.files.exists(f"{base}/batches/{batch_id}"):
+        ledger = self.stream(stream_id)
+        if batch_id is not None and ledger.labelled(batch_id):
             return self.spark.createDataFrame([], "seq long, id long, duplicate boolean")
-        keys = self.table(f"{base}/idempotency_key")
-        start = self.head_id(stream_id)
-        plan = log_ops.append_plan(batch, keys, start).withColumn("part", part(F.col("id"), size)).persist()
-        try:
-            new = plan.where("not duplicate")
-            last = new.agg(F.max("id")).first()[0]
-            if last is not None:
-                self.files.write(f"{base}/head", str(last))
-                rows = new.select(*[F.expr("nullif(routing_key, '') routing_key") if c == "routing_key" else F.expr("nullif(message_key, '') message_key") if c == "message_key" else F.col(c) for c in schema("message_log").names], "part")
-                # ids of this attempt are its own, so its files can be told apart and a reader's part filter stays exact
-                rows.repartition("part").sortWithinPartitions("id").write.mode("append").partitionBy("part").parquet(f"{self.base}/{base}/message_log")
-                self.replace(f"{base}/idempotency_key", keys.unionByName(new.select("idempotency_key", "created_at")))
-                self.replace(f"{base}/compaction_head", self._heads(base, new))
-            if batch_id is not None:
-                self.files.write(f"{base}/batches/{batch_id}", "committed")
-            return self.spark.createDataFrame(plan.select("seq", "id", "duplicate").toArrow())
-        finally:
-            plan.unpersist()
-
-    def _heads(self, base: str, new: DataFrame) -> DataFrame:
-        old = self.table(f"{base}/compaction_head")
-        merged = head_ops.merged(old, new)
-        times = old.select("compaction_key", F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"))
-        at = new.groupBy(F.col("message_key").alias("compaction_key")).agg(F.max("created_at").alias("_at"))
-        j = merged.join(times, "compaction_key", "left").join(at, "compaction_key", "left")
-        return j.select("compaction_key", "message_id", "schema_version", "compaction_rank", F.coalesce("_created", "_at").alias("created_at"), F.coalesce("_at", "_updated").alias("updated_at"))
+        draft = ledger.draft(batch_id)
+        plan = log_ops.append_plan(batch, ledger.view(draft, "idempotency_key"), int(draft["state"].get("head", 0)))
+        new = plan.where("not duplicate").withColumn("part", part(F.col("id"), size))
+        ledger.add(draft, "message_log", new.withColumns({c: F.expr(f"nullif({c}, '')") for c in ("routing_key", "message_key")}))
+        told = written(plan.select("seq", "id", "duplicate"), "plan")
+        last = told.agg(F.max("id")).first()[0]
+        if last:
+            draft["state"]["head"] = last
+            ledger.add(draft, "idempotency_key", new.select("idempotency_key", "created_at"))
+            times = new.where("compaction_rank is not null and message_key is not null").groupBy(F.col("message_key").alias("compaction_key")).agg(F.max("created_at").alias("created_at"))
+            ledger.add(draft, "compaction_head", head_ops.heads(new).join(times, "compaction_key").withColumn("updated_at", F.col("created_at")))
+        else:
+            draft["tables"]["message_log"].pop()
+        if last or batch_id is not None:
+            ledger.publish(draft)
+        return told
+
+    # removing
+
+    def _forget(self, stream_id: int, gone: DataFrame) -> None:
+        """Take the exceptions, deliveries and heads of deleted messages (id) out; older rows are not promoted."""
+        for group_id in self.groups(stream_id):
+            ledger = self.group(stream_id, group_id)
+            draft = ledger.draft()
+            for kind in GROUP:
+                if draft["tables"].get(kind):
+                    rows = ledger.view(draft, kind)
+                    ledger.replace(draft, kind, rows.join(gone.select(F.col("id").alias("message_id")), "message_id", "left_anti").select(rows.columns))
+            ledger.publish(draft)
+
+    def _without_heads(self, ledger: Ledger, draft: dict, gone: DataFrame) -> None:
+        if draft["tables"].get("compaction_head"):
+            rows = ledger.view(draft, "compaction_head")
+            ledger.replace(draft, "compaction_head", rows.join(gone.select(F.col("id").alias("message_id")), "message_id", "left_anti").select(rows.columns))
 
     def drop_parts(self, stream_id: int, parts: list[int]) -> None:
-        """Delete whole id ranges and what depends on them; heads of deleted messages go, older rows are not promoted."""
-        base = f"stream_id={stream_id}"
-        for p in parts:
-            gone = self.log(stream_id).where(F.col("part") == p).select("id")
-            for name, column in ((f"{base}/exception_queue", "message_id"), (f"{base}/delivery_log", "message_id"), (f"{base}/compaction_head", "message_id")):
-                t = self.table(name)
-                self.replace(name, t.join(gone.select(F.col("id").alias(column)), column, "left_anti").select(t.columns))
-            self.files.delete(f"{base}/message_log/part={p}")
+        """Delete whole id ranges and what depends on them, all ranges in one pass."""
+        if not parts:
+            return
+        ledger = self.stream(stream_id)
+        draft = ledger.draft()
+        gone = written(ledger.view(draft, "message_log").where(F.col("part").isin(*parts)).select("id"), "gone")
+        self._forget(stream_id, gone)  # dependants first: a failure in between leaves messages, never orphans
+        self._without_heads(ledger, draft, gone)
+        ledger.without(draft, "message_log", parts)
+        ledger.publish(draft)
+        ledger.swept()
+
+    def sweep(self, stream_id: int, swept: DataFrame) -> int:
+        """Delete single messages (id, part) and what depends on them; the number of them.  Their partitions are rewritten."""
+        gone = written(swept.select("id", "part"), "gone")
+        parts = [r["part"] for r in gone.select("part").distinct().toLocalIterator()]
+        if not parts:
+            return 0
+        ledger = self.stream(stream_id)
+        self._forget(stream_id, gone)
+        draft = ledger.draft()
+        rest = ledger.view(draft, "message_log").where(F.col("part").isin(*parts)).join(gone, ["id", "part"], "left_anti")
+        entry = ledger.entry("message_log", rest, level=64)
+        self._without_heads(ledger, draft, gone)
+        ledger.without(draft, "message_log", parts)
+        draft["tables"]["message_log"].insert(0, entry)
+        ledger.publish(draft)
+        ledger.swept()
+        return gone.count()

@@ -62,12 +62,13 @@ def test_streams_keys_and_consumers(client, clock):
 
     billing.consume(lambda m: None)
     clock.t += timedelta(days=3)
-    assert orders.janitor() == {"partitions": 1, "keys": 3, "heads": 0}
-    assert sorted(r.id for r in orders.log().collect()) == [2, 3]
+    assert orders.janitor() == {"partitions": 1, "rows": 2, "keys": 3, "heads": 0}
+    assert orders.log().count() == 0 and orders.heads().count() == 0
+    assert [r.id for r in orders.produce([{"payload": "5"}, {"payload": "6"}])] == [4, 5]  # ids are not used again
     orders.vacuum()
     renamed = orders.rename("sales")
     assert code(renamed.destroy) == "SQL0006"
-    assert sorted(r.id for r in renamed.log().collect()) == [2, 3]
+    assert sorted(r.id for r in renamed.log().collect()) == [4, 5]
     late.stream = renamed
     late.destroy()
     renamed.destroy(force=True)
@@ -129,3 +130,40 @@ def test_codes():
     assert explain("SQL0028") == {"code": "SQL0028", "kind": "event", "condition": "messages dead-lettered", "queries": ["diag_sql0028_dead_newest_first", "diag_sql0028_errors_of_dead"]}
     with pytest.raises(ValueError):
         Condition("SQL0028")
+
+
+def test_alerts_are_evaluated_and_published_once(client, clock):
+    client.system.register()
+    client.stream("orders").register(StreamConfig(partition_size=1))
+    client.stream("orders").produce([{"payload": str(i)} for i in range(4)])
+    for _ in range(4):
+        client.system.collect()
+        clock.t += timedelta(seconds=60)
+    clock.t -= timedelta(seconds=30)
+    first = client.system.check_alerts(partition_threshold=3)
+    assert first["published_alerts"] == 1 and first["resolved_alerts"] == 0
+    assert [(r.owner, r.status) for r in client.system.alert("partition_count").current().collect()] == [("orders", "active")]
+    assert client.system.check_alerts(partition_threshold=3)["published_alerts"] == 0  # within the repeat time
+    assert client.system.check_alerts(partition_threshold=300)["resolved_alerts"] == 1
+    assert [r.status for r in client.system.alert("partition_count").history("orders").collect()] == ["resolved", "active"]
+    with pytest.raises(ValueError):
+        client.system.alert("none")
+    assert client.system.janitor() == {"worker_instance": 0, "worker_instance_log": 0, "binding_config_log": 0}
+
+
+def test_bad_messages_hold_up_no_others(client):
+    client.stream("orders").register()
+    got = client.stream("orders").produce_each([{"payload": "{}"}, {"payload": "{"}, {"payload": "{}", "concurrency": "ordered"}, {"payload": "{}", "message_key": "a", "compaction_rank": 1}])
+    assert [(r["id"], r["rejected"]) for r in got] == [(1, None), (0, "payload is not JSON"), (0, "concurrency without key"), (2, None)]
+
+
+def test_expired_rows_are_swept_after_the_grace_period(client, clock):
+    s = client.stream("orders")
+    s.register(StreamConfig(partition_size=100, retention=timedelta(days=1)))
+    s.produce([{"payload": "1"}, {"payload": "2"}])
+    clock.t += timedelta(days=1, minutes=5)
+    s.produce([{"payload": "3"}])
+    assert s.janitor()["rows"] == 0
+    clock.t += timedelta(minutes=6)
+    assert s.janitor()["rows"] == 2
+    assert [r.id for r in s.log().collect()] == [3]

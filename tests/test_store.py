@@ -145,7 +145,7 @@ def test_streaming_heads_agree_with_batch(spark, store, tmp_path):
     from sluice.operators import heads
 
     store.produce(1, batch(spark, [{"mkey": f"u{i % 3}", "rank": i * 7 % 5, "payload": str(i)} for i in range(20)]), size=6)
-    path = f"{store.base}/stream_id=1/message_log"
+    path = store.log_path(1)
     s = spark.readStream.schema(store.log(1).schema).parquet(path)
     q = produce.heads_stream(s).writeStream.format("memory").queryName("heads_now").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
