@@ -1,46 +1,34 @@
-"""Written tables in the folder that every node of the cluster shares."""
+"""Helpers of the training-data operators: written tables, white space, character classes, column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
+import sys
+import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, recorded, removed, shared_dir, shuffle_partitions, written
+
+__all__ = ["SPACE", "WORD", "character_class", "dropped", "recorded", "removed", "shared_dir", "shuffle_partitions", "with_columns", "written"]
+
 #: ASCII white space of the contracts, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a new local folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later plans start there.
-
-    A lost executor then costs a reread, and what a plan assigns (row numbers, say)
-    is the same for every reader.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a written table that no returned plan reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def character_class(categories: tuple[str, ...]) -> str:
+    """A character class body of all characters of the Unicode categories."""
+    found, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c)) in categories
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            found.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return "".join(found)
 
 
 def with_columns(df: DataFrame, new: dict) -> DataFrame:
@@ -49,6 +37,3 @@ def with_columns(df: DataFrame, new: dict) -> DataFrame:
     kept = [c for c in df.columns if c.lower() not in lower]
     return df.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in new.items()])
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

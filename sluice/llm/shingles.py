@@ -98,7 +98,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
     combined = np.zeros(m, dtype=np.uint64)
     left = first[1:][texts] - np.arange(m)  # words of the text from here on
-    for k in range(WORDS):
+    for k in range(min(WORDS, m)):
         part = words[k:] * _MULTIPLIERS[k]
         part[left[: m - k] <= k] = 0
         combined[: m - k] += part

@@ -140,6 +140,33 @@ def test_shingle_kernel_counts():
             assert offsets[k + 1] - offsets[k] == len(shingles(texts[at + k])) and first[k + 1] - first[k] == len(words(texts[at + k]))
 
 
+def test_shingles_of_very_few_words():
+    for texts in (["one"], ["one two"], ["a", "b"], ["a b c d"], ["", "x"], [""]):
+        for _, data, bounds in slices(pa.array(texts)):
+            s, offsets = shingle_sets(data, bounds)
+            assert [offsets[k + 1] - offsets[k] for k in range(len(texts))] == [len(shingles(t)) for t in texts]
+
+
+def test_blocks_of_a_large_key_lose_no_pair(spark, monkeypatch):
+    rows = near_rows(140, 11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), n, str(c)) for (i, _), (n, c) in zip(rows, brute_near(rows), strict=True))
+    for block, words in ((3, 10**9), (10**9, 500), (7, 2000)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_WORDS", words)
+        # nothing is linked by the first round, so every link is found between blocks
+        monkeypatch.setattr(near_dedup, "CLOSEST", 0 if block == 3 else 1)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dedup.near_dedup(docs).collect()) == want
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    base = [f"w{k}" for k in range(40)]
+    rows = [(5, " ".join(base), "x"), (5, " ".join([*base[:-1], "z"]), "y"), (5, " ".join(base), "x"), (6, " ".join(base), "x"), (7, "something else entirely here now", "q"), (7, "something else entirely here now", "q"), (None, " ".join(base), "n"), (8, "", "e"), (8, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_id string")
+    got = [(r.doc_id, r.text) for r in near_dedup.without_near_copies(docs, 80).collect()]
+    assert sorted(i for i, _ in got) == [5, 7, 8, 8] and docs.columns == near_dedup.without_near_copies(docs, 80).columns
+
+
 def test_near_dedup_equals_brute_force(spark):
     rows = near_rows()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_shingles string").repartition(4)
