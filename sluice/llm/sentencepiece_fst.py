@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding by composed weighted transducers.
 
-The model file compiles to three machines:
-
-* the normaliser, which rewrites text (longest match first) to the piece alphabet, with
-  white space escaped as U+2581 and a leading one added where the model says so;
-* the piece transducer, a trie whose arcs read characters and whose finals write a piece
-  id with weight ``-score``; characters without a piece take byte-fallback arcs;
-* for BPE models the pair acceptor: piece sequences that merging would not produce have
-  infinite weight.  (The scores of a BPE model only order merges; their sum over a path
-  has no meaning, so without this acceptor the shortest path would be a wrong encoding.)
+The model file compiles to three machines (``wfst``):
+
+* the normaliser, a deterministic transducer that rewrites text, the longest rule first, to the
+  piece alphabet: the model's precompiled character map or rules given as a table, then white
+  space escaped as U+2581 and a leading one added where the model says so;
+* the piece transducer, a trie whose arcs read characters and whose last arcs write a piece
+  with weight ``-score``; characters without a piece take byte-fallback arcs;
+* the acceptor of piece sequences.  For unigram models it accepts all of them.  The scores of a
+  BPE model only order merges, and their sum over a path has no meaning; there, piece arcs weigh
+  nothing, and the acceptor's states are the last pieces, with an arc of weight 0 where
+  merging leaves the pair as it is and none (weight infinity) where it would not.
 
 Encoding composes a text with the machines and takes the shortest path in the tropical
 semiring.  No piece but a run of U+2581 has that character past its start, so the
-composed lattice has a single state at each word boundary and is solved word by word;
+composition has a single state at each word boundary and is solved word by word;
 solved words are kept in a bounded table, as arcs of their own.
 """
 
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_paths import Vocabulary
+from .wfst import AllowedPairs, AnySequence, Pieces, Rewriter, character_map_rules, shortest_path, trie_rules
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -88,8 +91,7 @@ class Model:
         self.space_as_suffix = bool(trainer.get(24, 0))
         self.dummy_prefix = bool(normaliser.get(3, 1))
         self.trim = bool(normaliser.get(4, 1))
-        if normaliser.get(2):
-            raise ValueError("models with a precompiled character map are not supported; give its rules as `rewrites`")
+        self.character_map = normaliser.get(2) or b""
         if self.space_as_suffix or not normaliser.get(5, 1):
             raise ValueError("white space as suffix, or not escaped, is not supported")
 
@@ -99,40 +101,46 @@ class Transducer:
 
     def __init__(self, raw: bytes, rewrites: dict[str, str] | None = None):
         m = self.model = Model(raw)
-        self.rewrites = rewrites or {}
-        self._rewrite = re.compile("|".join(re.escape(k) for k in sorted(self.rewrites, key=len, reverse=True))) if rewrites else None
+        if rewrites and m.character_map:
+            raise ValueError("the model has a character map of its own")
+        rules = character_map_rules(m.character_map) if m.character_map else trie_rules(rewrites) if rewrites else None
+        self.rewriter = Rewriter(rules) if rules else None
         self.ids = {p: i for i, (p, _, kind) in enumerate(m.pieces) if kind in (NORMAL, USER_DEFINED)}
         self.bytes = {}
         self.unknown = next((i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN), 0)
         for i, (p, _, kind) in enumerate(m.pieces):
             if kind == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
-        self.cost = {p: -m.pieces[i][1] for p, i in self.ids.items()}
+        cost = {p: -m.pieces[i][1] for p, i in self.ids.items()}
         self.single = all(SPACE not in p[1:] or set(p) == {SPACE} for p in self.ids)
         inside = {c for p in self.ids if len(p) > 1 for c in p} | {SPACE}
         if self.single:
             # words with the spaces before them, and characters that no longer piece holds
             letters = "".join(re.escape(c) for c in sorted(inside - {SPACE}))
             self.words = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|(?s:.)")
-        self.vocabulary = Vocabulary(self.ids, self._rank) if m.kind == BPE else None
-        self.longest = max(map(len, self.ids), default=1)
-        self.prefixes = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
+        if m.kind == BPE:
+            merged = Vocabulary(self.ids, lambda a, b: cost.get(a + b)).merge
+            self.pieces = Pieces(dict.fromkeys(self.ids, 0.0), 0.0)
+            self.sequences = AllowedPairs(lambda a, b: merged(a + b) == ([a, b] if a else [b]))
+        else:
+            self.pieces = Pieces(cost, max(cost.values(), default=0.0) + 10.0)
+            self.sequences = AnySequence()
         self.kept: dict[str, bytes] = {}
         self.outputs = self._outputs()
 
-    def _rank(self, a: str, b: str) -> float | None:
-        return self.cost.get(a + b)
-
     # normaliser
 
     def normalise(self, text: str) -> str:
-        if self._rewrite is not None:
-            text = self._rewrite.sub(lambda m: self.rewrites[m.group()], text)
-        if self.model.trim:
-            text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
-        return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
+        if self.rewriter is not None:
+            text = self.rewriter.apply(text)
+        if self.model.trim:
+            text = re.sub(" +", " ", text).strip(" ")
+            if not text:
+                return ""
+        escaped = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
+        return escaped.rstrip(SPACE) if self.model.trim else escaped
 
     # composition and shortest path
 
@@ -141,37 +149,9 @@ class Transducer:
             return [self.unknown]
         return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
 
-    def _viterbi(self, text: str) -> list[str]:
-        """Tropical shortest path through the piece trie (unigram models); ties go to the longer last piece."""
-        n, worst = len(text), max(self.cost.values(), default=0.0) + 10.0
-        best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for i in range(n):
-            if best[i] == float("inf"):
-                continue
-            if text[i] not in self.ids and best[i] + worst < best[i + 1]:
-                best[i + 1], back[i + 1] = best[i] + worst, i
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = text[i:j]
-                if piece not in self.prefixes:
-                    break
-                if piece in self.ids and best[i] + self.cost[piece] < best[j]:
-                    best[j], back[j] = best[i] + self.cost[piece], i
-        out, j = [], n
-        while j:
-            out.append(text[back[j] : j])
-            j = back[j]
-        return out[::-1]
-
     def _solve(self, text: str) -> list[int]:
-        if self.vocabulary:
-            found = self.vocabulary.encode(text)
-            if max(found, default=0) < self.vocabulary.unknown_from:
-                return found
-            pieces = [self.vocabulary.names[i] for i in found]
-        else:
-            pieces = self._viterbi(text)
         out: list[int] = []
-        for p in pieces:
+        for p in shortest_path(text, self.pieces, self.sequences):
             i = self.ids.get(p)
             if i is not None:
                 out.append(i)

@@ -2,8 +2,9 @@
 
 Text is cut into pretokens as the tokenizer does; inside each, one dynamic programme over
 its bytes yields the token count of *every* prefix (``bpe_paths.Vocabulary.lattice``).
-From the stored counts, truncation to a budget, budget tests and split points are look-ups:
-nothing is encoded again.
+``prefix_counts`` stores the counts of all prefixes of a text as a column.  The token count,
+budget tests and truncation (``token_counts``, ``truncated``) are look-ups in that column,
+in the JVM: nothing is encoded again.
 
 A prefix that ends inside a pretoken can be cut differently from the whole text in three
 places, each handled where it occurs: at trailing white space (always one pretoken), inside
@@ -14,39 +15,25 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import unicodedata
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_paths import Vocabulary
+from .shared import character_class
 
 KEPT_WORDS = 200_000
 
 
-def _class(categories: tuple[str, ...]) -> str:
-    """A character class body of all characters of the Unicode categories."""
-    found, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c)) in categories
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            found.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
-            start = None
-    return "".join(found)
-
-
 def _pretokens() -> re.Pattern:
     """Contractions, letters, numbers, other runs (each with a space before), white space.
 
     ``\\w`` without ``\\d``, ``_`` and the other numbers is exactly the letters; ``\\s`` is
     taken without the separators U+001C to U+001F, which tokenizers count as other characters.
     """
-    numbers = _class(("Nl", "No"))
+    numbers = character_class(("Nl", "No"))
     letter, number, other = rf"[^\W\d_{numbers}]", rf"[\d{numbers}]", r"(?:[^\w\s]|[_\x1c-\x1f])"
     space = r"[^\S\x1c-\x1f]"
     solid = r"(?![\S\x1c-\x1f])"
@@ -80,89 +67,72 @@ class PrefixCounter:
         self.vocabulary = Vocabulary(tokens, lambda a, b: ranks.get((a, b)))
         self.special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.pretokens = _pretokens()
-        self.kept: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        return self.vocabulary.lattice(word.encode("utf-8", "surrogatepass").decode("latin-1"))[1][-1]
-
-    def _ordinary(self, text: str) -> int:
-        kept, words = self.kept, self.pretokens.findall(text)
-        try:
-            return sum(map(kept.__getitem__, words))
-        except KeyError:
-            pass
-        total = 0
-        for w in words:
-            n = kept.get(w)
-            if n is None:
-                n = self._word(w)
-                if len(kept) < KEPT_WORDS and len(w) < 64:
-                    kept[w] = n
-            total += n
-        return total
+        self.kept: dict[str | tuple, tuple[bytes, int, int]] = {}
 
-    def count(self, text: str) -> int:
-        """Tokens of the whole text; special strings count one each."""
-        if self.special is None or not self.special.search(text):
-            return self._ordinary(text)
-        parts = self.special.split(text)
-        return len(parts) - 1 + sum(map(self._ordinary, parts))
-
-    def _inside(self, word: str, base: int, out: array) -> None:
-        """Append the counts of the prefixes of one pretoken, by character."""
+    def _counts(self, word: str) -> list[int]:
+        """Counts of the prefixes of one pretoken, by character, without the empty one."""
         counts = self.vocabulary.lattice(word.encode("utf-8", "surrogatepass").decode("latin-1"))[1]
-        at = 0
+        if word.isascii():
+            return counts[1:]
+        out, at = [], 0
         for c in word:
             at += len(c.encode("utf-8", "surrogatepass"))
-            out.append(base + counts[at])
-
-    def _ordinary_prefixes(self, text: str, base: int) -> array:
-        """Counts after each character of text without special strings."""
-        out, before = array("i"), base
-        run_at, run_base = -1, 0  # start of the white space that ends the prefix, and the count before it
-        for m in self.pretokens.finditer(text):
-            word = m.group()
-            if word[0].isspace() and word[0] not in "\x1c\x1d\x1e\x1f":
-                if run_at < 0:
-                    run_at, run_base = m.start(), before
-                blank = word if len(word.strip()) == 0 else word[0]
-                whole = array("i")
-                self._inside(text[run_at : m.start() + len(blank)], run_base, whole)
-                out.extend(whole[m.start() - run_at :])
-                if len(blank) < len(word):
-                    rest = array("i")
-                    self._inside(word, before, rest)
-                    out.extend(rest[len(blank) :])
-                before += self._word(word)
-                run_at = run_at if len(blank) == len(word) else -1
-                continue
-            run_at = -1
-            if len(word) == 3 and word[0] == "'" and word[1:] in ("re", "ve", "ll"):
-                tick, letter = self._word("'"), self._word(word[1])
-                out.extend((before + tick, before + tick + letter, before + self._word(word)))
-            else:
-                self._inside(word, before, out)
-            before += self._word(word)
+            out.append(counts[at])
         return out
 
-    def prefixes(self, text: str) -> array:
+    def _solved(self, word: str, run: str, run_count: int) -> tuple[bytes, int, int]:
+        """Counts of the prefixes that end in a pretoken less that before it, its characters, and whether it is white space.
+
+        ``run`` is the white space right before it, which counts ``run_count`` tokens there.
+        """
+        if word[0].isspace() and word[0] not in "\x1c\x1d\x1e\x1f":
+            every = self._counts(word)
+            n = len(word) if not word.strip() else 1  # its white space
+            counts = [c - run_count for c in self._counts(run + word[:n])[len(run) :]] + every[n:]
+            return np.array(counts, dtype=np.int32).tobytes(), every[-1], int(n == len(word))
+        counts = self._counts(word)
+        if word in ("'re", "'ve", "'ll"):
+            tick, letter = self._counts("'")[-1], self._counts(word[1])[-1]
+            counts = [tick, tick + letter, counts[-1]]
+        return np.array(counts, dtype=np.int32).tobytes(), counts[-1], 0
+
+    def _ordinary(self, text: str, base: int) -> np.ndarray:
+        """Counts after each character of text without special strings."""
+        kept, parts, before, ends, run, run_count = self.kept, [], [], [], "", 0
+        for word in self.pretokens.findall(text):
+            key = (run, run_count, word) if run else word
+            found = kept.get(key)
+            if found is None:
+                found = self._solved(word, run, run_count)
+                if len(kept) < KEPT_WORDS and len(word) + len(run) < 64:
+                    kept[key] = found
+            counts, n, blank = found
+            parts.append(counts)
+            before.append(n)
+            ends.append(len(word))
+            if blank:
+                run, run_count = run + word, run_count + n
+            elif run:
+                run, run_count = "", 0
+        totals = np.cumsum(np.array([base, *before], dtype=np.int32), dtype=np.int32)
+        return np.frombuffer(b"".join(parts), dtype=np.int32) + np.repeat(totals[:-1], ends)
+
+    def prefixes(self, text: str) -> np.ndarray:
         """``prefixes(text)[k]`` is the token count of ``text[:k]``, for k from 0 to the length."""
-        out, at, base = array("i", [0]), 0, 0
+        out, at, base = [np.zeros(1, dtype=np.int32)], 0, 0
         for m in self.special.finditer(text) if self.special else ():
-            part = self._ordinary_prefixes(text[at : m.end() - 1], base)  # the special string but its last character is ordinary text
-            out.extend(part)
-            base = (part[m.start() - at - 1] if m.start() > at else base) + 1
+            part = self._ordinary(text[at : m.end() - 1], base)  # the special string but its last character is ordinary text
+            out.append(part)
             # text before the special string is cut at it, so its own last prefix is exact
-            out.append(base)
+            base = (int(part[m.start() - at - 1]) if m.start() > at else base) + 1
+            out.append(np.array([base], dtype=np.int32))
             at = m.end()
-        out.extend(self._ordinary_prefixes(text[at:], base))
-        return out
+        out.append(self._ordinary(text[at:], base))
+        return np.concatenate(out)
 
-    def truncate(self, text: str, budget: int, counts: array | None = None) -> str:
-        """The longest prefix of at most ``budget`` tokens."""
-        counts = self.prefixes(text) if counts is None else counts
-        k = next(k for k in range(len(counts) - 1, -1, -1) if counts[k] <= budget or k == 0)
-        return text[:k]
+    def count(self, text: str) -> int:
+        """Tokens of the whole text; special strings count one each."""
+        return int(self.prefixes(text)[-1])
 
 
 _loaded: dict[str, PrefixCounter] = {}
@@ -175,47 +145,42 @@ def counter(path: str) -> PrefixCounter:
     return _loaded[path]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_tokens, over_limit.
+def prefix_counts(docs: DataFrame, path: str, rows: int = 256) -> DataFrame:
+    """The input's columns and ``prefix_tokens array<int>``: the count after 0, 1, ... characters (null for null).
 
-    Null text is empty and has no tokens.  Other columns are ignored; an empty table gives
-    an empty result.
+    An input column of that name gives way.  ``rows`` texts at a time are sent back.
     """
-
-    def run(batches):
-        c = counter(path)
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            counts = [c.count(t) for t in texts]
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-
-
-def _passed_through(docs: DataFrame, path: str, name: str, kind: str, make) -> DataFrame:
-    keep = [c for c in docs.columns if c.lower() != name]
+    keep = [c for c in docs.columns if c.lower() != "prefix_tokens"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 
     def run(batches):
         c = counter(path)
-        for batch in batches:
-            values = [make(c, t.as_py()) for t in batch.column(at).cast(pa.string())]
-            kinds = {"array<int>": pa.list_(pa.int32()), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kinds[kind])], names=[*batch.schema.names, name])
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows):
+                batch = whole.slice(first, rows)
+                texts = batch.column(at).cast(pa.string())
+                counts = [np.empty(0, np.int32) if t is None else c.prefixes(t) for t in texts.to_pylist()]
+                ends = np.cumsum([0, *map(len, counts)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(counts)), mask=texts.is_null())
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "prefix_tokens"])
 
     at = keep.index("text")
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, f"{schema}, {name} {kind}")
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, f"{schema}, prefix_tokens array<int>")
+
 
+def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_tokens, over_limit, read off the stored prefix counts.
 
-def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
-    """The input's columns and ``prefix_tokens array<int>``: the count after 0, 1, ... characters (null for null)."""
-    return _passed_through(docs, path, "prefix_tokens", "array<int>", lambda c, t: None if t is None else list(c.prefixes(t)))
+    Null text is empty and has no tokens.  Other columns are ignored; an empty table gives
+    an empty result.
+    """
+    counted = prefix_counts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), path)
+    n = F.coalesce(F.element_at("prefix_tokens", -1), F.lit(0)).cast("long")
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
-def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
-    """The input's columns and ``truncated``: the longest prefix of at most ``budget`` tokens (null for null)."""
-    return _passed_through(docs, path, "truncated", "string", lambda c, t: None if t is None else c.truncate(t, budget))
+def truncated(counted: DataFrame, budget: int) -> DataFrame:
+    """The columns of a table with ``prefix_tokens`` and ``truncated``: the longest prefix of at most ``budget`` tokens (null for null)."""
+    length = F.array_max(F.transform("prefix_tokens", lambda n, k: F.when(n <= budget, k)))
+    kept = [F.col(f"`{c}`") for c in counted.columns if c.lower() != "truncated"]
+    return counted.select(*kept, F.substring("text", F.lit(1), length).alias("truncated"))
