@@ -5,10 +5,11 @@ character n-grams of the greatest length for which any is known, from ``LONGEST`
 single letters.  A text's score is the sum over its words; frequencies are smoothed, so no
 language is ever ruled out by one word.
 
-Training fits on at most ``max_training_docs`` labelled rows, taken by the smallest keyed
-hashes of their ids (a documented bound; the counting itself is distributed), and keeps
-the ``max_words`` words and ``max_ngrams`` n-grams that occur most.  So the model has a
-fixed size bound and can be sent to every worker.
+Training fits on a bounded sample: of each language the labelled rows with the smallest
+keyed hashes, ``max_docs`` shared evenly among the languages (``MIN_DOCS`` each at least), so
+a rare language is learned as well as a frequent one.  The counting is distributed.  Kept are
+the ``max_words`` words and ``max_ngrams`` n-grams that make up the largest share of any
+language.  So the model has a fixed size bound and can be sent to every worker.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import character_class, dropped, written
+
 LONGEST = 5
 MAX_TRAINING_DOCS = 8192
+MIN_DOCS = 64
 MAX_WORDS = 60_000
 MAX_NGRAMS = 120_000
 KEPT_WORDS = 200_000
 UNDETERMINED = "und"
-#: Runs of letters of any script; for Java, and for Python (where \w holds digits and _ too).
+#: Runs of letters of any script; for Java, and for Python (where \w holds digits, other numbers and _ too).
 _JAVA_WORDS = r"\p{L}+"
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(rf"[^\W\d_{character_class(('Nl', 'No'))}]+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -61,11 +65,9 @@ class Model:
                 return self.table[known].sum(axis=0) / len(known)
         return np.zeros(len(self.languages))
 
-    def scores(self, text: str) -> np.ndarray | None:
-        """Sum of the words' log frequencies by language; None where the text has no letter."""
+    def scores(self, text: str) -> tuple[np.ndarray, int]:
+        """Sum of the words' log frequencies by language, and the number of words."""
         words = _WORDS.findall(text.lower())
-        if not words:
-            return None
         total = np.zeros(len(self.languages))
         at = list(map(self.kept.get, words))
         if None in at:
@@ -81,14 +83,13 @@ class Model:
                     self.kept[w] = self.used
                     self.used += 1
             at = [i for i in at if i is not None]
-        return total + self.rows[at].sum(axis=0) if at else total
+        return (total + self.rows[at].sum(axis=0) if at else total), len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and its posterior under equal priors (per-word evidence damped by the square root of the length)."""
-        s = self.scores(text or "")
-        if s is None or not self.languages:
+        s, n = self.scores(text or "")
+        if not n or not self.languages:
             return UNDETERMINED, 0.0
-        n = len(_WORDS.findall(text)) if len(text) < 400 else max(1, len(text) // 6)
         z = (s - s.max()) / math.sqrt(n)
         p = np.exp(z)
         best = int(s.argmax())
@@ -100,42 +101,55 @@ def _logs(counted: pa.Table, languages: list[str], totals: dict[str, int], first
 
     They are centred: an item equally frequent everywhere scores 0.
     """
-    counts = np.column_stack([counted.column(f"n{k}").to_numpy() for k in range(len(languages))]).astype(float) if languages else np.zeros((0, 0))
-    rates = counts / np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
-    logs = np.log(0.9 * rates + 0.1 * rates.mean(axis=1, keepdims=True)) if languages else rates
-    return {item: first + k for k, item in enumerate(counted.column("item").to_pylist())}, logs - logs.mean(axis=1, keepdims=True) if languages else logs
+    counts = np.column_stack([counted.column(f"n{k}").to_numpy() for k in range(len(languages))]).astype(float)
+    rates = counts / np.array([totals[x] for x in languages], dtype=float)
+    logs = np.log(0.9 * rates + 0.1 * rates.mean(axis=1, keepdims=True))
+    return {item: first + k for k, item in enumerate(counted.column("item").to_pylist())}, logs - logs.mean(axis=1, keepdims=True)
+
+
+def sampled(labelled: DataFrame, max_docs: int) -> DataFrame:
+    """(lang, text) of the rows to fit on, ``max_docs`` or ``MIN_DOCS`` for each language; null texts and languages are left out."""
+    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    if sum(found.values()) > max_docs:
+        each = max(MIN_DOCS, max_docs // len(found))
+        # a keyed hash below the language's threshold, with room for chance, then the exact bound
+        share = {x: int(min(1.0, 1.2 * each / n + 50 / n) * (1 << 30)) for x, n in found.items()}
+        limits = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
+        rows = rows.withColumn("hash", F.xxhash64(F.lit("language"), "doc_id", "text")).where(F.pmod("hash", F.lit(1 << 30).cast("long")) < F.element_at(limits, F.col("lang")))
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30).cast("long")), "hash", "doc_id"))
+        rows = rows.withColumn("nth", nth).where(F.col("nth") <= each)
+    return rows.select("lang", "text")
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_words: int = MAX_WORDS, max_ngrams: int = MAX_NGRAMS) -> Model:
     """Fit on (doc_id, text, lang) rows; rows with a null text or lang are not used."""
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    if n > max_docs:
-        # a keyed hash below a threshold, with room for chance, then the exact bound
-        share = min(1.0, 1.2 * max_docs / n + 50 / n)
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30).cast("long")) < int(share * (1 << 30)))
-        rows = rows.orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id").limit(max_docs)
-    rows = rows.repartition(max(1, min(16, n // 200 + 1)), "doc_id")
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_JAVA_WORDS})"), F.lit(1))).alias("item")).groupBy("lang", "item").count()
-    words = words.cache()
+    words = sampled(labelled, max_docs).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_JAVA_WORDS})"), F.lit(1))).alias("item")).groupBy("lang", "item").count()
+    words = written(words, "language-words")
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     languages = sorted(totals)
+    if not languages:
+        return Model([], {}, {}, np.zeros((0, 0)))
 
     def frequent(counts: DataFrame, limit: int) -> pa.Table:
-        """The most frequent items and a column of counts for each language, in Arrow's form."""
-        by = counts.groupBy("item").agg(F.sum("count").alias("n"), *[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(languages)])
-        return by.where("n > 1").orderBy(F.desc("n"), "item").limit(limit).drop("n").toArrow()
+        """The items of the largest shares and a column of counts for each language, in Arrow's form."""
+        by = counts.groupBy("item").agg(*[F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(languages)])
+        share = F.greatest(*[F.col(f"n{k}") / totals[x] for k, x in enumerate(languages)], F.lit(0.0))
+        return by.orderBy(share.desc(), "item").limit(limit).toArrow()
 
     known, table = _logs(frequent(words, max_words), languages, totals, 0)
     marked = F.concat(F.lit("<"), "item", F.lit(">"))
-    some = [F.transform(F.sequence(F.lit(1), F.length("item")), lambda i: F.substring("item", i, F.lit(1)))]
-    for k in range(2, LONGEST + 1):
-        starts = F.when(F.length("item") + 3 - k > 0, F.sequence(F.lit(1), F.length("item") + 3 - k)).otherwise(F.array().cast("array<int>"))
-        some.append(F.transform(starts, lambda i, k=k: F.substring(marked, i, F.lit(k))))
-    pieces = words.select("lang", "count", F.explode(F.concat(*some)).alias("item")).groupBy("lang", "item").agg(F.sum("count").alias("count"))
+
+    def of_length(n: int) -> Column:
+        """The n-grams of an item (``grams``)."""
+        text, last = (F.col("item"), F.length("item")) if n == 1 else (marked, F.length("item") + 3 - n)
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+    pieces = words.select("lang", "count", F.explode(F.concat(*map(of_length, range(1, LONGEST + 1)))).alias("item")).groupBy("lang", "item").agg(F.sum("count").alias("count"))
     ngrams, more = _logs(frequent(pieces, max_ngrams), languages, totals, len(known))
-    words.unpersist()
-    return Model(languages, known, ngrams, np.concatenate([table, more]) if languages else np.zeros((0, 0)))
+    dropped(words)
+    return Model(languages, known, ngrams, np.concatenate([table, more]))
 
 
 def identify(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:
