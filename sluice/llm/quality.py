@@ -1,16 +1,16 @@
 """Quality scores by co-training two views.
 
-The text view sees what is in a document (character classes, repetition of words and
-lines, word lengths); the metadata view sees what is known about it (source, language,
+The text view sees what is in a document (its words, hashed into ``BUCKETS`` shares, character
+classes, repetition of words and lines, word lengths); the metadata view sees what is known about it (source, language,
 stated length).  Both are logistic regressions.  In each round every view labels all
 unlabelled documents of which it is sure, and hands them to the *other* view; a view
 that is never sure enough hands over nothing.  At the end each view is calibrated on
 labelled documents that took no part in training, and the calibrated log odds are added.
 
-Fitting reads a bounded sample of the labelled documents, at most ``MAX_LABELLED`` by
+Fitting reads a bounded sample of the labelled documents, the ``MAX_LABELLED`` of the smallest
 keyed hashes of their ids, and *all* other documents: their features are written once,
-and each Newton step is one pass over them that returns gradients and Hessians.  What a
-document was taught follows from the views of the rounds so far, so no state is kept.
+and each Newton step is one pass over them that returns gradients and Hessians, summed by
+tasks, then by ``SUMMERS`` tasks, so the driver gets a fixed number of them.  What a document was taught follows from the views of the rounds so far, so no state is kept.
 Scoring reads all documents whole, in one pass, with the two weight vectors.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
@@ -34,6 +34,9 @@ STEPS = 40
 CONFIDENT = 0.95
 #: Most that a taught document weighs, and all taught ones of a side together for each labelled one of it.
 TAUGHT_WEIGHT = 0.5
+SUMMERS = 8
+BUCKETS = 64
+DAMPING = 4.0
 SOURCES = 64
 LANGUAGES = 16
 
@@ -42,7 +45,7 @@ _CLASSES[:128] = 6  # controls
 _CLASSES[33:127] = 5  # symbols
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\x0b\x0c\r", b".,;:'\"-?()")):
     _CLASSES[list(_chars)] = _i
-TEXT_FEATURES = 8 + 9
+TEXT_FEATURES = 8 + 9 + BUCKETS
 META_FEATURES = SOURCES + LANGUAGES + 4
 
 
@@ -76,7 +79,8 @@ def text_features(texts: pa.Array) -> np.ndarray:
             lines[i] = len(parts), len(set(parts))
         m = np.maximum(n, 1)
         rest = [np.log1p(n), size / m, distinct / m, most / m, again / m, 1 - lines[:, 1] / lines[:, 0], lines[:, 0] / m, (distinct / m) * np.log1p(n), (share[:, 5] > 0.02).astype(float)]
-        out[first : first + k] = np.column_stack([share, *rest])
+        content = np.bincount(of * BUCKETS + (words >> np.uint64(58)).astype(np.int64), minlength=BUCKETS * k).reshape(k, BUCKETS)
+        out[first : first + k] = np.column_stack([share, *rest, content / m[:, None]])
     return out
 
 
@@ -192,11 +196,12 @@ def moments(x: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate([[len(part)], part.sum(axis=0), (part**2).sum(axis=0)]) for part in x]
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: Callable, rounds: int = ROUNDS) -> CoTrained:
+def co_train(x: list[np.ndarray], y: np.ndarray, pool: Callable, rounds: int = ROUNDS, damped: tuple[int, int] = (0, 0)) -> CoTrained:
     """Fit on two views of labelled documents and of a pool of unlabelled ones.
 
     ``pool(f)`` is the sum of ``f([text features, metadata features])`` over parts of the pool.
-    Every fourth labelled document is kept for calibration.
+    Every fourth labelled document is kept for calibration.  The last ``damped`` features of a
+    view are scaled down by ``DAMPING``: a ridge of its square, as for many weak features.
     """
     apart = np.arange(len(y)) % 4 == 3
     train, prior, share = ~apart, 0.0, 0.5
@@ -210,6 +215,7 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: Callable, rounds: int = R
         for v, total in enumerate(a + b for a, b in zip(moments(seen), pool(moments), strict=True)):
             mean, square = total[1:].reshape(2, -1) / total[0]
             scaling[v] = mean, np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-6)
+            scaling[v][1][len(mean) - damped[v] :] *= DAMPING
     views = [Logistic(seen[v], labels, scaling=scaling[v]) for v in (0, 1)]
     z = [views[v].z(seen[v]) for v in (0, 1)]
     history, taught = [], [0, 0]
@@ -234,14 +240,6 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: Callable, rounds: int = R
     return CoTrained(views, calibrations, prior, taught)
 
 
-def _nth(n: int, limit: int) -> float:
-    return min(1.0, limit / max(1, n))
-
-
-def _chosen(column: str, share: float) -> Column:
-    return F.pmod(F.xxhash64(F.lit("quality"), column), F.lit(1 << 30).cast("long")) < int(share * (1 << 30))
-
-
 def _views(batch) -> list[np.ndarray]:
     """Both views' features from rows of t, s, l, n."""
     t = np.frombuffer(b"".join(batch.column("t").to_pylist()), dtype=float).reshape(-1, TEXT_FEATURES)
@@ -252,16 +250,17 @@ def _pool_sums(rows: DataFrame) -> Callable:
     """Sums over written rows of features, a job for each; a task hands on fixed-size sums."""
 
     def pool(f: Callable) -> list[np.ndarray]:
-        def run(batches):
+        def summed(parts):
             total = None
-            for b in batches:
-                part = f(_views(b))
+            for part in parts:
                 total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
             if total is not None:
                 yield pa.RecordBatch.from_pydict({"sums": pa.array([pickle.dumps(total)], pa.binary())})
 
+        first = rows.mapInArrow(lambda batches: summed(f(_views(b)) for b in batches), "sums binary")
+        second = first.repartition(SUMMERS).mapInArrow(lambda batches: summed(pickle.loads(x) for b in batches for x in b.column(0).to_pylist()), "sums binary")
         total = f([np.zeros((0, TEXT_FEATURES)), np.zeros((0, META_FEATURES))])
-        for sums in rows.mapInArrow(run, "sums binary").toArrow().column("sums").to_pylist():
+        for sums in second.toArrow().column("sums").to_pylist():
             total = [x + y for x, y in zip(total, pickle.loads(sums), strict=True)]
         return total
 
@@ -271,13 +270,14 @@ def _pool_sums(rows: DataFrame) -> Callable:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
     """Fit on a bounded sample of ``labels`` (doc_id, quality) and on all other documents.
 
-    Rows with a null id or quality are not used; a document with several labels has their majority.
+    Rows with a null id or quality are not used; a document with several labels has their majority,
+    and of rows that share a labelled id one is fitted on.  Rows without an id are unlabelled.
     """
-    named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    some = named.where(_chosen("doc_id", _nth(labels.count(), max_labelled)))
+    named = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+    some = written(named.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(max_labelled), "quality-labels")
     base = docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang")], F.col("n_chars").cast("long"), F.col("text").cast("string"))
-    labelled = base.join(F.broadcast(some.limit(2 * max_labelled)), "doc_id").select(*base.columns, "y")
-    unlabelled = base.join(F.broadcast(some.limit(2 * max_labelled)), "doc_id", "left_anti").select("*", F.lit(None).cast("double").alias("y"))
+    labelled = base.join(F.broadcast(some), "doc_id").select(*base.columns, "y")
+    unlabelled = base.join(F.broadcast(some), "doc_id", "left_anti").select("*", F.lit(None).cast("double").alias("y"))
 
     def features(batches):
         for b in batches:
@@ -285,15 +285,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "y": b.column(5), "t": pa.array([r.tobytes() for r in t], pa.binary()), "s": pa.array(s), "l": pa.array(l), "n": b.column(3)})
 
     schema = "doc_id long, y double, t binary, s int, l int, n long"
-    rows = labelled.mapInArrow(features, schema).toArrow().sort_by("doc_id")
+    one = F.min(F.struct("t", "s", "l", "n", "y")).alias("one")
+    rows = labelled.mapInArrow(features, schema).groupBy("doc_id").agg(one).select("doc_id", "one.*").toArrow().sort_by("doc_id")
     y = np.array(rows.column("y").to_pylist(), dtype=float)
     order = np.random.default_rng(5).permutation(len(y))
     x = [v[order] for v in _views(rows)]
     if not len(y):
         return co_train(x, y, lambda f: f(x))
     pool = written(unlabelled.mapInArrow(features, schema).select("t", "s", "l", "n"), "quality-pool")
-    model = co_train(x, y[order], _pool_sums(pool))
+    model = co_train(x, y[order], _pool_sums(pool), damped=(BUCKETS, 0))
     dropped(pool)
+    dropped(some)
     return model
 
 

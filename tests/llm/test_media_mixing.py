@@ -1,6 +1,7 @@
 """GIF round trips and files, mixing against brute force, quality and language on held-out rows."""
 
 import hashlib
+import math
 import os
 import random
 import struct
@@ -177,13 +178,100 @@ def test_permutations_have_inverses(spark):
         assert all(r.p == r.id for r in got)
 
 
-def test_slots_fill_shards_without_repeats(spark):
+def test_slots_name_every_draw_once(spark):
     docs = spark.createDataFrame([(i, t, s) for i, t, s in mix_rows()], "doc_id long, text string, source string")
-    sources = mixing.targets(mixing.sizes(docs), 64)
+    sources = mixing.targets(mixing.sizes(docs), 64).persist()
     slots = mixing.slots(sources, 100, 17).collect()
-    assert sorted(s.shard * 100 + s.slot for s in slots) == list(range(len(slots)))
+    draws = {r.source: r.draws for r in sources.collect()}
+    blocks = {r.source: r.blocks for r in sources.collect()}
     seen = {(s.source, s.epoch, s.block) for s in slots}
-    assert len(seen) == len(slots)
+    assert len(seen) == len(slots) == sum(draws.values())
+    for name, n in draws.items():
+        mine = [s for s in slots if s.source == name]
+        assert len(mine) == n and all(0 <= s.block < blocks[name] for s in mine)
+        for epoch in range(n // blocks[name] if n else 0):  # whole epochs have every block
+            assert {s.block for s in mine if s.epoch == epoch} == set(range(blocks[name]))
+    counts = {(r.shard, r.source): r.n for r in mixing.shard_counts(sources, 100, 17).collect()}
+    drawn = {}
+    for s in slots:
+        drawn[s.shard, s.source] = drawn.get((s.shard, s.source), 0) + 1
+    assert drawn == counts
+
+
+def test_shard_counts_look_multinomial(spark):
+    docs = spark.createDataFrame([(i, "w " * 640, "ab"[i % 2]) for i in range(4000)], "doc_id long, text string, source string")
+    sources = mixing.targets(mixing.sizes(docs), 64)
+    counts = mixing.shard_counts(sources, 400, 17).collect()
+    for name in "ab":
+        n = np.array([r.n for r in counts if r.source == name])
+        assert len(n) == 100
+        chi = ((n - n.mean()) ** 2 / n.mean()).sum()  # 99 degrees of freedom, each draw alike
+        assert 55 < chi < 155
+
+
+def brute_mix(rows, block_words, shard_slots, seed, spark):
+    """Takes word by word, with the hashes that the operator draws by."""
+    from pyspark.sql import functions as F
+
+    def h(*parts):
+        return spark.range(1).select(F.xxhash64(*[F.lit(p) for p in parts])).first()[0]
+
+    def hashes(items):  # one job for many
+        df = spark.createDataFrame([(i, *x) for i, x in enumerate(items)], "i long, k string, seed int, source string, draw long")
+        return [r.h for r in df.select("i", F.xxhash64("k", "seed", "source", "draw").alias("h")).orderBy("i").collect()]
+
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target = brute_targets(sizes)
+    out, draws, plan = {}, {}, {}
+    buckets = max(1, math.isqrt(len(rows)))
+    df = spark.createDataFrame([(i, len(t.split())) for i, t, _ in rows], "doc_id long, size long")
+    bucket = {r.doc_id: r.b for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "size"), F.lit(buckets).cast("long")).alias("b")).collect()}
+    for s, size in sizes.items():
+        words = max(1, min(block_words, size // mixing.MIN_BLOCKS))
+        line = [i for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (bucket[r[0]], r[0])) for _ in t.split()]
+        blocks = [line[k : k + words] for k in range(0, size, words)]
+        epochs, n = int(target[s] // size), len(blocks)
+        perm = lambda e: [r.p for r in spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(seed), F.lit(s), F.lit(e).cast("long")).alias("p")).orderBy("id").collect()]  # noqa: E731, B023
+        orders = [perm(e) for e in range(min(3, epochs + 1))]
+        rest, best = target[s] - epochs * size, (float("inf"), 0)
+        if epochs < 3:
+            total = 0
+            best = (abs(rest), 0)
+            for d, b in enumerate(orders[epochs], 1):
+                total += len(blocks[b])
+                best = min(best, (abs(total - rest), d))
+        draws[s], plan[s] = epochs * n + best[1], (blocks, orders)
+    shards = -(-sum(draws.values()) // shard_slots)
+    taken, by_shard = {}, {}
+    for s, n in draws.items():
+        blocks, orders = plan[s]
+        counts = [0] * shards
+        for x in hashes([("shard", seed, s, k) for k in range(n)]):
+            counts[x % shards] += 1
+        index = 0
+        for shard, c in enumerate(counts):
+            for _ in range(c):
+                for i in blocks[orders[index // len(blocks)][index % len(blocks)]]:
+                    taken[i] = taken.get(i, 0) + 1
+                    by_shard[i, shard] = by_shard.get((i, shard), 0) + 1
+                index += 1
+    return taken, by_shard, target
+
+
+def test_the_mix_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(1, 300), rng.choice(["a"] * 30 + ["b", "c", "d"])) for i in range(300)] + [(900, "x " * 5000, "a"), (901, "one", "tiny"), (902, "w " * 10, "ten"), (903, "w " * 60, "sixty")]
+    taken, by_shard, target = brute_mix(rows, 64, 50, 17, spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(docs, shard_slots=50).collect()
+    assert {r.doc_id: r.taken for r in got if r.taken} == taken
+    assert {(r.doc_id, x.shard): x.words for r in got for x in r.shards} == by_shard
+    of = {i: s for i, _, s in rows}
+    for s, want in target.items():
+        words = sum(r.taken for r in got if of[r.doc_id] == s)
+        assert abs(words - want) <= max(1, min(32, 0.01 * want)), (s, words, want)
 
 
 def test_shards_are_in_the_result(spark):
@@ -192,13 +280,14 @@ def test_shards_are_in_the_result(spark):
     want, got = {}, {}
     for s in slots:  # a document is a block here
         want[s.source, s.shard] = want.get((s.source, s.shard), 0) + 64
-    for r in mixing.mix(docs, shard_slots=20).collect():
+    mixed = mixing.mix(docs, shard_slots=20).collect()
+    for r in mixed:
         assert sum(x.words for x in r.shards) == r.taken
         for x in r.shards:
             key = "ab"[r.doc_id % 2], x.shard
             got[key] = got.get(key, 0) + x.words
     assert got == want and len({k for _, k in got}) == 10
-    shards = {r.doc_id: sorted(x.shard for x in r.shards for _ in range(x.words // 64)) for r in mixing.mix(docs, shard_slots=20).collect()}
+    shards = {r.doc_id: sorted(x.shard for x in r.shards for _ in range(x.words // 64)) for r in mixed}
     order = [r.doc_id for r in mixing.mixed_documents(docs, shard_slots=20).collect()]
     left = {i: list(v) for i, v in shards.items()}
     at = 0
@@ -233,6 +322,73 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def brute_language(train_rows, texts):
+    """Word-first backoff written plainly, over dictionaries."""
+    import regex
+
+    letters, counts = regex.compile(r"\p{L}+"), {}
+    for t, lang in train_rows:
+        for w in letters.findall(t.lower()):
+            counts.setdefault(lang, {})[w] = counts.setdefault(lang, {}).get(w, 0) + 1
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in langs}
+
+    def table(by):
+        out = {}
+        for item in {i for x in langs for i in by[x]}:
+            rates = [by[x].get(item, 0) / total[x] for x in langs]
+            logs = [math.log(0.9 * r + 0.1 * sum(rates) / len(langs)) for r in rates]
+            out[item] = [v - sum(logs) / len(langs) for v in logs]
+        return out
+
+    words, pieces = table(counts), {x: {} for x in langs}
+    for x in langs:
+        for w, n in counts[x].items():
+            for k in range(1, language_id.LONGEST + 1):
+                m = w if k == 1 else f"<{w}>"
+                for i in range(len(m) - k + 1):
+                    pieces[x][m[i : i + k]] = pieces[x].get(m[i : i + k], 0) + n
+    grams, out = table(pieces), []
+    for t in texts:
+        found = letters.findall((t or "").lower())
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        s = [0.0] * len(langs)
+        for w in found:
+            add = words.get(w)
+            for k in range(language_id.LONGEST, 0, -1) if add is None else ():
+                m = w if k == 1 else f"<{w}>"
+                known = [grams[m[i : i + k]] for i in range(len(m) - k + 1) if m[i : i + k] in grams]
+                if known:
+                    add = [sum(c) / len(known) for c in zip(*known, strict=True)]
+                    break
+            s = [a + b for a, b in zip(s, add or [0.0] * len(langs), strict=True)]
+        p = [math.exp((v - max(s)) / math.sqrt(len(found))) for v in s]
+        out.append((langs[s.index(max(s))], max(p) / sum(p)))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = ["½² Ⅷ ٣ 一", "½² Ⅷ", "zzzqq unseenword", "der die das 12 §", "x" * 700, None, "", "ÀÉ naïve"]
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t, None, "s", 0) for i, t in enumerate(extra)], docs.schema))
+    rows = docs.collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    want = brute_language([(r.text, r.lang) for r in rows if r.text is not None and r.lang is not None and not held[r.doc_id]], [r.text for r in rows])
+    got = {r.doc_id: r for r in language_id.language_report(docs).collect()}
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (lang, pytest.approx(score, abs=1e-6)), r.text
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the cat number {i} sat on the mat", "en") for i in range(3000)] + [(9000 + i, "le chat est sur le tapis", "fr") for i in range(3)] + [(None, "the same dog", "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.lang: r["count"] for r in language_id.sampled(df, 200).groupBy("lang").count().collect()}
+    assert found == {"en": 100, "fr": 3}
+    assert language_id.train(df, 200).predict("le tapis")[0] == "fr"
+
+
 def test_unseen_words_back_off(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("singing ringing bringing", "en"), ("nation station ration", "fr")] * 5)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -269,3 +425,77 @@ def test_quality_teaches_every_confident_document(spark):
     assert few.taught == many.taught == [5600, 5600]  # both views are sure of every document
     for a, b in zip(few.scores(*x), many.scores(*x), strict=True):
         assert np.allclose(a, b, atol=1e-9) and ((a > 0.5) == np.array([r[0] % 2 == 0 for r in pool])).all()
+
+
+def plain_co_training(x, y, pool, rounds):
+    """Co-training with all rows in memory: labels are kept as lists, and each fit is a gradient search of its own."""
+    apart = np.arange(len(y)) % 4 == 3
+    labels, share = y[~apart], y.mean()
+    odds = lambda z, w: np.array([sum(a * b for a, b in zip(row, w, strict=True)) for row in z])
+    sigmoid = lambda o: 1 / (1 + np.exp(-np.clip(o, -30, 30)))
+    z, zp = [], []
+    for v in (0, 1):
+        every = np.concatenate([x[v][~apart], pool[v]])
+        mean, scale = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-6)
+        prepared = [np.column_stack([np.ones(len(p)), np.clip((p - mean) / scale, -8, 8)]) for p in (x[v][~apart], pool[v])]
+        z.append(prepared[0])
+        zp.append(prepared[1])
+
+    def fit(a, t, weight):
+        w = np.zeros(a.shape[1])
+        for _ in range(200):
+            p = sigmoid(a @ w)
+            g = a.T @ (weight * (p - t)) + w
+            h = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.eye(len(w))
+            d = np.linalg.solve(h, g)
+            loss = lambda u: (weight * (np.logaddexp(0, a @ u) - t * (a @ u))).sum() + u @ u / 2  # noqa: E731, B023
+            while loss(w - d) > loss(w) + 1e-9 * abs(loss(w)):
+                d = d / 2
+            w = w - d
+            if np.abs(d).max() < 1e-9:
+                break
+        return w
+
+    w = [fit(z[v], labels, np.ones(len(labels))) for v in (0, 1)]
+    taught = [np.full(len(pool[0]), np.nan) for _ in (0, 1)]
+    for _ in range(rounds):
+        for v in (0, 1):
+            p = sigmoid(odds(zp[1 - v], w[1 - v]))
+            new = np.isnan(taught[v]) & (np.maximum(p, 1 - p) >= quality.CONFIDENT)
+            taught[v][new] = p[new] > 0.5
+        for v in (0, 1):
+            some = ~np.isnan(taught[v])
+            weight = np.zeros(len(pool[0]))
+            for side, of_labels in ((0, 1 - share), (1, share)):
+                mine = taught[v] == side
+                weight[mine] = quality.TAUGHT_WEIGHT * min(1.0, len(labels) * of_labels / max(1, mine.sum()))
+            w[v] = fit(np.concatenate([z[v], zp[v][some]]), np.concatenate([labels, taught[v][some]]), np.concatenate([np.ones(len(labels)), weight[some]]))
+    return w, [int((~np.isnan(t)).sum()) for t in taught]
+
+
+def test_co_training_equals_plain_co_training():
+    rng = np.random.default_rng(2)
+    truth = rng.integers(0, 2, 900).astype(float)
+    x = [truth[:, None] * s + rng.normal(size=(900, k)) for s, k in ((1.2, 4), (1.0, 3))]
+    lab, rest = slice(0, 120), slice(120, None)
+    pool = [v[rest] for v in x]
+    model = quality.co_train([v[lab] for v in x], truth[lab], lambda f: f(pool))
+    w, taught = plain_co_training([v[lab] for v in x], truth[lab], pool, quality.ROUNDS)
+    assert model.taught == taught and min(taught) > 100
+    for view, want in zip(model.views, w, strict=True):
+        assert np.allclose(view.w, want, atol=1e-3)
+
+
+def test_quality_sample_is_bounded_and_null_ids_are_unlabelled(spark):
+    rows = [(None if i % 3 == 0 else 1 if i % 3 == 1 else i, f"text number {i}", "s", "en", 20) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)] + [(None, 1)] * 50, "doc_id long, quality int")
+    seen = []
+    kept = quality.co_train
+    quality.co_train = lambda x, y, pool, **k: seen.append(len(y)) or kept(x, y, pool, **k)
+    try:
+        quality.fit(docs, labels, max_labelled=100)
+    finally:
+        quality.co_train = kept
+    assert 0 < seen[0] <= 100
+    assert quality.quality_scores(docs, labels).count() == 900
