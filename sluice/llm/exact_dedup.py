@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -229,7 +230,9 @@ def exact_dedup(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
 
     A null text is the empty text.  A null doc_id sorts after all others; of rows that
     share text and smallest doc_id, one is kept.  An empty table gives an empty result,
-    and other columns of ``docs`` are ignored.  ``memory`` bounds the bytes of one table.
+    and other columns of ``docs`` are ignored.  ``memory`` bounds the bytes of one table, as far
+    as ``MAX_LEVEL`` levels of 16 spill files each can separate different texts (16**12 buckets a
+    task); a single text is held whole.
     """
     spark = docs.sparkSession
     local = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_local(memory), LOCAL_SQL), "dedup-local")
@@ -250,14 +253,16 @@ def deduplicated(docs: DataFrame, memory: int = 48 << 20) -> DataFrame:
     found = exact_dedup(docs, memory)
     keys = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     keys = written(keys, "dedup-keys")
-    gone = keys.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+    dropped(found)
+    of_id, of_sha, of_text = (f"dedup_{uuid.uuid4().hex}" for _ in range(3))  # no input column has these names
+    gone = keys.where("not kept").select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_sha))
     repeated = keys.where("kept and n > 1").limit(1).count()
     gone = F.broadcast(gone) if keys.where("not kept").count() <= BROADCAST_ROWS else gone
     sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{SPACE}]+", " "), "UTF-8"), 256)
-    hashed = docs.withColumn("_dedup_sha", sha)
-    kept = hashed.join(gone, hashed["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.col("_dedup_sha") == F.col("_gone_sha")), "left_anti")
+    hashed = docs.withColumn(of_text, sha)
+    kept = hashed.join(gone, hashed["doc_id"].eqNullSafe(F.col(of_id)) & (F.col(of_text) == F.col(of_sha)), "left_anti")
     if repeated:
-        kept = kept.dropDuplicates(["doc_id", "_dedup_sha"])
+        kept = kept.dropDuplicates(["doc_id", of_text])
     return kept.select(*[f"`{c}`" for c in docs.columns])
 
 

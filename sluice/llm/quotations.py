@@ -9,6 +9,9 @@ the message that says it first.  A message replies to the original found at its
 quote level (the whole passage before its parts, the later original before the earlier),
 or, without any, to the turn before.
 
+A message may be of any length: no pattern matches a group by recursion, and the lines of a
+message are taken apart once.
+
 Within a conversation, messages are ordered by the turn they reply to, then by their own:
 every message comes after the one it answers, and answers to one message stand together.
 
@@ -21,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, written
+from .shared import recorded, removed, shuffle_partitions, written
 
-MARKS = r"^[ \t]*>(?:[ \t]*>)*"
+#: Repeated groups are possessive: they match in a loop, where others would take a stack frame for each turn.
+MARKS = r"^[ \t]*+>(?:[ \t]*+>)*+"
+BLANK_LINES = r"^(?:[ \t]*+\n)++"
 #: Lines that announce a quotation in the languages of common mail programs.
 ANNOUNCES = r"(?i)^(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió) ?:\s*$"
 SEGMENT = 64
@@ -41,10 +46,11 @@ def _lines(text: Column) -> Column:
 
 def unquoted(text: Column) -> Column:
     """The text without quoted lines, the lines that announce them, and blank lines at its ends; others are unchanged."""
-    lines = _lines(text)
     quoted = lambda line: F.coalesce(line.rlike(MARKS), F.lit(False))
-    kept = F.filter(lines, lambda line, i: ~quoted(line) & ~(line.rlike(ANNOUNCES) & quoted(F.get(lines, i + 1))))
-    without = F.regexp_replace(F.array_join(kept, "\n"), r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "")
+    own = lambda lines: F.filter(lines, lambda line, i: ~quoted(line) & ~(line.rlike(ANNOUNCES) & quoted(F.get(lines, i + 1))))
+    kept = F.get(F.transform(F.array(_lines(text)), lambda lines: F.array_join(own(lines), "\n")), F.lit(0))
+    # the blank lines at the end are those at the start of the reversed text: both matches are tried at one place only
+    without = F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(kept, BLANK_LINES, "")), BLANK_LINES, ""))
     return F.when(text.rlike(f"(?m){MARKS}"), without).otherwise(text)
 
 
@@ -105,10 +111,12 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     kinds = (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))
-    rows = written(conversations.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).cast(k) for c, k in kinds]), "quotes-messages")
-    both = rows.join(linked(rows), "row", "left")
+    with recorded() as made:
+        rows = written(conversations.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).cast(k) for c, k in kinds]), "quotes-messages")
+        both = rows.join(linked(rows), "row", "left")
     both = both.select("*", F.coalesce("reply_to", F.col("turn") - 1).alias("after"))
     placed = ranked(both, "conv_id", [F.asc_nulls_last("after"), F.asc_nulls_last("turn"), F.asc("row")], "position")
+    removed(conversations.sparkSession, *made)  # what is placed is a written table of its own
     none = F.lit(0).cast("long")
     return placed.select("conv_id", "turn", "role", "position", "reply_to", F.coalesce("n_quotes", none).alias("n_quotes"), F.coalesce("n_linked", none).alias("n_linked"), unquoted(F.col("text")).alias("text"))
 
