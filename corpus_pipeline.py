@@ -6,18 +6,21 @@ again, and works on all of them.  All but the last return the columns of ``docum
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_fst
-from sluice.llm.shared import written
+from sluice.llm.shared import dropped, recorded, removed, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (null text or no letter); learns from the stage's own labelled rows."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    named = language_id.identify(docs, model, "_language", "_language_score")
-    return named.where(f"_language <> '{language_id.UNDETERMINED}'").select(*[f"`{c}`" for c in docs.columns])
+    found, score = (f"language_{uuid.uuid4().hex}" for _ in range(2))  # no input column has these names
+    named = language_id.identify(docs, model, found, score)
+    return named.where(named[found] != language_id.UNDETERMINED).select(*[f"`{c}`" for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages, each written and read again; what a stage wrote on its way goes once its result is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        docs = written(out, f"pipeline-{name}")
+        removed(spark, *made)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
