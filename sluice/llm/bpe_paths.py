@@ -12,28 +12,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import ahocorasick
+
 
 class Vocabulary:
     """Tokens over text units (characters, or bytes as characters) with merge priorities.
 
     ``rank(left, right)`` is the priority of merging two adjacent tokens (lower first),
-    or None where they don't merge.  Units outside ``tokens`` are numbered on demand as
-    further tokens (from ``len(names)`` of the given vocabulary on) so that every text has a path.
+    or None where they don't merge.  ``units`` that are no tokens are numbered as further ones,
+    so that every text over them has a path.
     """
 
-    def __init__(self, tokens: dict[str, int], rank: Callable[[str, str], float | None]):
+    def __init__(self, tokens: dict[str, int], rank: Callable[[str, str], float | None], units: str = ""):
         self.rank = rank
-        self.numbers = dict(tokens)
         self.names = {i: t for t, i in tokens.items()}
-        self.unknown_from = self._next = max(self.names, default=-1) + 1
+        for unit in units:
+            if unit not in tokens:
+                self.names[max(self.names, default=-1) + 1] = unit
         self._kept_pairs = 0
         self._pairs: dict[int, dict[int, bool]] = {}
-        self._trie: dict = {}
-        for t, i in tokens.items():
-            node = self._trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[0] = i
+        self._ends = ahocorasick.Automaton()
+        for i, t in self.names.items():
+            self._ends.add_word(t, (i, len(t)))
+        self._ends.make_automaton()
 
     def merge(self, text: str) -> list[str]:
         """The encoding by merging: the definition that the paths are built from."""
@@ -59,53 +60,31 @@ class Vocabulary:
         a, b = self.names.get(left, ""), self.names[right]
         return self.merge(a + b) == ([a, b] if a else [b])
 
-    def _add_unit(self, c: str) -> None:
-        self.numbers[c] = self._trie.setdefault(c, {})[0] = self._next
-        self.names[self._next] = c
-        self._next += 1
-
     def lattice(self, text: str) -> tuple[list[int], list[int]]:
-        """Last token and token count of each prefix: the tropical shortest distances."""
-        n = len(text)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        trie, pairs = self._trie, self._pairs
-        for i in range(n):
+        """Last token and token count of each prefix: the tropical shortest distances.
+
+        An automaton reads the text once and names the tokens that end at each place, longest
+        first; the one that may follow the encoding before it is the last of the prefix.
+        """
+        last, count, pairs = [-1] * (len(text) + 1), [0] * (len(text) + 1), self._pairs
+        for at, (token, length) in self._ends.iter(text):
+            j = at + 1
+            if last[j] >= 0:
+                continue
+            i = j - length
             before = last[i]
             if i and before < 0:
                 continue
             row = pairs.get(before)
             if row is None:
                 row = pairs[before] = {}
-            node = trie.get(text[i])
-            if node is None or 0 not in node:
-                self._add_unit(text[i])
-                node = trie[text[i]]
-            j = i + 1
-            while True:
-                token = node.get(0)
-                if token is not None and last[j] < 0:
-                    fits = row.get(token)
-                    if fits is None:
-                        fits = row[token] = self.follows(before, token)
-                        self._kept_pairs += 1
-                    if fits:
-                        last[j], count[j] = token, count[i] + 1
-                if j == n:
-                    break
-                node = node.get(text[j])
-                if node is None:
-                    break
-                j += 1
+            fits = row.get(token)
+            if fits is None:
+                fits = row[token] = self.follows(before, token)
+                self._kept_pairs += 1
+            if fits:
+                last[j], count[j] = token, count[i] + 1
         if self._kept_pairs > 2_000_000:
             self._pairs.clear()
             self._kept_pairs = 0
         return last, count
-
-    def encode(self, text: str) -> list[int]:
-        """The tokens of the path, read back from the end."""
-        last, _ = self.lattice(text)
-        out, j = [], len(text)
-        while j:
-            out.append(last[j])
-            j -= len(self.names[last[j]])
-        return out[::-1]

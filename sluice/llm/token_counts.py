@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from .bpe_paths import Vocabulary
 from .shared import character_class
 
 KEPT_WORDS = 200_000
+_RUNS = re.compile(r"\s\s")
 
 
 def _pretokens() -> re.Pattern:
@@ -64,58 +66,69 @@ class PrefixCounter:
         tokens = {raw(t): i for t, i in model["vocab"].items() if t not in special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.vocabulary = Vocabulary(tokens, lambda a, b: ranks.get((a, b)))
+        self.vocabulary = Vocabulary(tokens, lambda a, b: ranks.get((a, b)), "".join(map(chr, range(256))))
         self.special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.pretokens = _pretokens()
-        self.kept: dict[str | tuple, tuple[bytes, int, int]] = {}
+        self.kept: dict[str | tuple, tuple[bytes, bytes, int, bool]] = {}
 
     def _counts(self, word: str) -> list[int]:
         """Counts of the prefixes of one pretoken, by character, without the empty one."""
-        counts = self.vocabulary.lattice(word.encode("utf-8", "surrogatepass").decode("latin-1"))[1]
         if word.isascii():
-            return counts[1:]
-        out, at = [], 0
-        for c in word:
-            at += len(c.encode("utf-8", "surrogatepass"))
-            out.append(counts[at])
-        return out
+            return self.vocabulary.lattice(word)[1][1:]
+        raw = word.encode("utf-8", "surrogatepass")
+        counts = self.vocabulary.lattice(raw.decode("latin-1"))[1]
+        return [counts[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
 
-    def _solved(self, word: str, run: str, run_count: int) -> tuple[bytes, int, int]:
-        """Counts of the prefixes that end in a pretoken less that before it, its characters, and whether it is white space.
+    def _solved(self, word: str, run: str, run_count: int) -> tuple[bytes, bytes, int, bool]:
+        """Of a pretoken: the counts of the prefixes that end in it less that before it, its count and length (both as 32-bit integers), its count, and whether it is white space.
 
         ``run`` is the white space right before it, which counts ``run_count`` tokens there.
         """
         if word[0].isspace() and word[0] not in "\x1c\x1d\x1e\x1f":
-            every = self._counts(word)
+            every = counts = self._counts(word)
             n = len(word) if not word.strip() else 1  # its white space
-            counts = [c - run_count for c in self._counts(run + word[:n])[len(run) :]] + every[n:]
-            return np.array(counts, dtype=np.int32).tobytes(), every[-1], int(n == len(word))
+            if run:
+                counts = [c - run_count for c in self._counts(run + word[:n])[len(run) :]] + every[n:]
+            return array("i", counts).tobytes(), array("i", (every[-1], len(word))).tobytes(), every[-1], n == len(word)
         counts = self._counts(word)
         if word in ("'re", "'ve", "'ll"):
             tick, letter = self._counts("'")[-1], self._counts(word[1])[-1]
             counts = [tick, tick + letter, counts[-1]]
-        return np.array(counts, dtype=np.int32).tobytes(), counts[-1], 0
+        return array("i", counts).tobytes(), array("i", (counts[-1], len(word))).tobytes(), counts[-1], False
+
+    def _kept(self, key: str | tuple, word: str, run: str, run_count: int) -> tuple[bytes, bytes, int, bool]:
+        found = self.kept.get(key)
+        if found is None:
+            found = self._solved(word, run, run_count)
+            if len(self.kept) < KEPT_WORDS and len(word) + len(run) < 64:
+                self.kept[key] = found
+        return found
 
     def _ordinary(self, text: str, base: int) -> np.ndarray:
         """Counts after each character of text without special strings."""
-        kept, parts, before, ends, run, run_count = self.kept, [], [], [], "", 0
-        for word in self.pretokens.findall(text):
-            key = (run, run_count, word) if run else word
-            found = kept.get(key)
-            if found is None:
-                found = self._solved(word, run, run_count)
-                if len(kept) < KEPT_WORDS and len(word) + len(run) < 64:
-                    kept[key] = found
-            counts, n, blank = found
-            parts.append(counts)
-            before.append(n)
-            ends.append(len(word))
-            if blank:
-                run, run_count = run + word, run_count + n
-            elif run:
-                run, run_count = "", 0
-        totals = np.cumsum(np.array([base, *before], dtype=np.int32), dtype=np.int32)
-        return np.frombuffer(b"".join(parts), dtype=np.int32) + np.repeat(totals[:-1], ends)
+        kept, words = self.kept, self.pretokens.findall(text)
+        if not words:
+            return np.empty(0, np.int32)
+        solved = list(map(kept.get, words))
+        if _RUNS.search(text):
+            run, run_count = "", 0
+            for k, word in enumerate(words):
+                # white space before matters to pretokens that begin with white space
+                inside = bool(run) and word[0].isspace()
+                found = solved[k] = self._kept((run, run_count, word), word, run, run_count) if inside else solved[k] or self._kept(word, word, "", 0)
+                if found[3]:
+                    run, run_count = run + word, run_count + found[2]
+                elif run:
+                    run, run_count = "", 0
+        elif None in solved:
+            for k, found in enumerate(solved):
+                if found is None:
+                    solved[k] = self._kept(words[k], words[k], "", 0)
+        parts, sizes, _, _ = zip(*solved)  # noqa: B905
+        own, lengths = np.frombuffer(b"".join(sizes), dtype=np.int32).reshape(-1, 2).T
+        before = np.cumsum(own, dtype=np.int32)
+        before += base - own
+        return np.frombuffer(b"".join(parts), dtype=np.int32) + np.repeat(before, lengths)
 
     def prefixes(self, text: str) -> np.ndarray:
         """``prefixes(text)[k]`` is the token count of ``text[:k]``, for k from 0 to the length."""
