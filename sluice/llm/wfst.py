@@ -10,109 +10,108 @@ acceptor state), visited by position, which is a topological order.
 from __future__ import annotations
 
 import struct
+from collections import defaultdict
 from collections.abc import Callable
 
-Arc = tuple[str | None, float, int]  # the piece written, the weight, the next state
+INFINITY = float("inf")
 
 
 class Pieces:
-    """The transducer of a piece inventory: a trie whose last arcs write a piece and go back to the start.
+    """The transducer of a piece inventory: a trie whose arcs write a piece where one ends, and then also go back to the start.
 
-    A character that is no piece itself is read by a fallback arc from the start, which writes it
-    as it is with the weight ``fallback``.
+    A state is a table from character to arc, ``[piece or None, weight, state inside the trie or
+    None]``.  A character that is no piece itself is read by a fallback arc from the start, which
+    writes it as it is with the weight ``fallback``.
     """
 
-    START = 0
-
     def __init__(self, weights: dict[str, float], fallback: float):
-        self.fallback = fallback
-        self.table: list[dict[str, list[Arc]]] = [{}]
+        self.fallback, self.start = fallback, {}
         self.known = {p for p in weights if len(p) == 1}
         for piece, weight in weights.items():
-            state = self.START
+            state = self.start
             for c in piece[:-1]:
-                state = self._inner(state, c)
-            self.table[state].setdefault(piece[-1], []).append((piece, weight, self.START))
+                arc = state.setdefault(c, [None, 0.0, None])
+                if arc[2] is None:
+                    arc[2] = {}
+                state = arc[2]
+            state.setdefault(piece[-1], [None, 0.0, None])[:2] = piece, weight
+
+
+class AnySequence:
+    """The acceptor of all piece sequences: one state, whose arcs weigh nothing."""
 
-    def _inner(self, state: int, c: str) -> int:
-        """The state inside the trie that ``c`` leads to."""
-        arcs = self.table[state].setdefault(c, [])
-        for out, _, to in arcs:
-            if out is None:
-                return to
-        self.table.append({})
-        arcs.append((None, 0.0, len(self.table) - 1))
-        return len(self.table) - 1
+    START = ""
 
-    def arcs(self, state: int, c: str) -> list[Arc]:
-        found = self.table[state].get(c, [])
-        return [*found, (c, self.fallback, self.START)] if state == self.START and c not in self.known else found
+    def __init__(self):
+        self.row: dict[str, float] = defaultdict(float)
 
+    def arcs(self, state: str) -> dict[str, float]:
+        return self.row
 
-class AnySequence:
-    """The acceptor of all piece sequences, with one state."""
 
-    START: object = None
+class _Row(dict):
+    """Arcs of a state by piece, found when first asked for."""
 
-    def step(self, state: object, piece: str) -> tuple[object, float] | None:
-        return state, 0.0
+    def __init__(self, allowed: Callable[[str, str], bool], state: str):
+        super().__init__()
+        self.allowed, self.state = allowed, state
+
+    def __missing__(self, piece: str) -> float:
+        weight = self[piece] = 0.0 if self.allowed(self.state, piece) else INFINITY
+        return weight
 
 
 class AllowedPairs:
     """The acceptor of piece sequences whose adjacent pairs are allowed; its states are the last pieces.
 
-    Arcs are found by ``allowed(left, right)`` (left is empty at the start) when they are first
-    asked for, and kept.
+    An arc weighs 0 where ``allowed(left, right)`` (left is empty at the start), else infinity.
+    At most ``most`` states are kept.
     """
 
     START = ""
 
-    def __init__(self, allowed: Callable[[str, str], bool], most: int = 1_000_000):
-        self.allowed, self.most, self.kept = allowed, most, 0
-        self.table: dict[str, dict[str, bool]] = {}
+    def __init__(self, allowed: Callable[[str, str], bool], most: int = 100_000):
+        self.allowed, self.most, self.rows = allowed, most, {}
 
-    def step(self, state: str, piece: str) -> tuple[str, float] | None:
-        row = self.table.get(state)
+    def arcs(self, state: str) -> dict[str, float]:
+        row = self.rows.get(state)
         if row is None:
-            row = self.table[state] = {}
-        ok = row.get(piece)
-        if ok is None:
-            if self.kept >= self.most:
-                self.table, self.kept = {state: (row := {})}, 0
-            ok = row[piece] = self.allowed(state, piece)
-            self.kept += 1
-        return (piece, 0.0) if ok else None
+            if len(self.rows) >= self.most:
+                self.rows.clear()
+            row = self.rows[state] = _Row(self.allowed, state)
+        return row
 
 
 def shortest_path(text: str, pieces: Pieces, sequences: AnySequence | AllowedPairs) -> list[str]:
-    """Pieces on the lightest path of the composition; of equally light ones that whose last piece starts first."""
-    n, start = len(text), pieces.START
-    reached: list[dict] = [{} for _ in range(n + 1)]  # at piece ends: acceptor state -> weight, start of the last piece, state before, piece
-    reached[0][sequences.START] = (0.0, 0, None, "")
-    walks: list[tuple[int, int]] = []  # machine state and where the walk left the start, oldest first
-    for i, c in enumerate(text):
-        if reached[i]:
-            walks.append((start, i))
-        further = []
-        for state, at in walks:
-            for piece, weight, to in pieces.arcs(state, c):
-                if piece is None:
-                    further.append((to, at))
-                    continue
-                after = reached[i + 1]
-                for before, (so_far, *_) in reached[at].items():
-                    stepped = sequences.step(before, piece)
-                    if stepped is None:
-                        continue
-                    total, old = so_far + weight + stepped[1], after.get(stepped[0])
-                    if old is None or total < old[0]:
-                        after[stepped[0]] = (total, at, before, piece)
-        walks = further
+    """Pieces on the lightest path of the composition; of equally light ones that whose last piece starts first.
+
+    Both acceptors have one state for all accepted paths to a text position: the one there is, or
+    the last piece of the one encoding that a prefix has.  So a position keeps one.
+    """
+    n, start, known, fallback = len(text), pieces.start, pieces.known, pieces.fallback
+    best, back, state = [INFINITY] * (n + 1), [0] * (n + 1), [sequences.START] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        so_far = best[i]
+        if so_far == INFINITY:
+            continue
+        follows, inside, j = sequences.arcs(state[i]), start, i
+        if text[i] not in known and (total := so_far + fallback + follows[text[i]]) < best[i + 1]:
+            best[i + 1], back[i + 1], state[i + 1] = total, i, text[i]
+        while j < n:
+            arc = inside.get(text[j])
+            if arc is None:
+                break
+            j += 1
+            piece, weight, inside = arc
+            if piece is not None and (total := so_far + weight + follows[piece]) < best[j]:
+                best[j], back[j], state[j] = total, i, piece
+            if inside is None:
+                break
     out, j = [], n
-    state = min(reached[n], key=lambda s: reached[n][s][0])
     while j:
-        _, j, state, piece = reached[j][state]
-        out.append(piece)
+        out.append(text[back[j] : j])
+        j = back[j]
     return out[::-1]
 
 
