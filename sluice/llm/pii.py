@@ -302,14 +302,14 @@ def _cards(found: Column, gaps: Column) -> Column:
     def number(i: Column, k: Column) -> Column:
         """Whether the k groups from i on are a card number."""
 
-        def valid(groups: Column) -> Column:
+        def valid(groups: Column, digits: Column) -> Column:
             printed = F.array_join(F.transform(groups, lambda g: F.length(g).cast("string")), ",").isin(*PRINTED)
             alone = ~F.coalesce(next_to(i), F.lit(False)) & ~F.coalesce(next_to(i + k), F.lit(False))
             joined = F.forall(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda m: (k == 1) | F.coalesce(next_to(i + m), F.lit(False)))
-            layout = F.when(k == 1, F.length(F.get(groups, F.lit(0))) >= 12).otherwise((F.size(groups) == k) & joined & (printed | alone))
-            return layout & let(F.array_join(groups, ""), lambda digits: digits.rlike(CARD) & (_luhn(digits) == 0))
+            # the cheap conditions first: the others are not evaluated where these fail
+            return F.length(digits).between(12, 19) & digits.rlike(CARD) & ((k == 1) | (joined & (printed | alone))) & (_luhn(digits) == 0)
 
-        return let(F.slice(found, i + 1, k), valid)
+        return let(F.slice(found, i + 1, k), lambda groups: let(F.array_join(groups, ""), lambda digits: valid(groups, digits)))
 
     def longest(v: Column, i: Column) -> Column:
         may = is_group(v) & ((F.length(v) >= 12) | F.coalesce(next_to(i + 1), F.lit(False)))
