@@ -170,18 +170,14 @@ class Transducer:
         if not self.single or not self.model.byte_fallback:
             return array("i", self._solve(text)).tobytes()
         kept, words = self.kept, self.words.findall(text)
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            found = kept.get(w)
-            if found is None:
-                found = array("i", self._solve(w)).tobytes()
-                if len(kept) < KEPT_WORDS and len(w) < 64:
-                    kept[w] = found
-            out.append(found)
+        out = list(map(kept.get, words))
+        if None in out:
+            for k, found in enumerate(out):
+                if found is None:
+                    w = words[k]
+                    found = out[k] = kept.get(w) or array("i", self._solve(w)).tobytes()
+                    if len(kept) < KEPT_WORDS and len(w) < 64:
+                        kept[w] = found
         return b"".join(out)
 
     # the inverse transducer

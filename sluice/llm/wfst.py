@@ -13,101 +13,100 @@ import struct
 from collections import defaultdict
 from collections.abc import Callable
 
+import ahocorasick
+
 INFINITY = float("inf")
 
 
 class Pieces:
-    """The transducer of a piece inventory: a trie whose arcs write a piece where one ends, and then also go back to the start.
+    """The transducer of a piece inventory, with its states determinised over all places where a piece may begin.
 
-    A state is a table from character to arc, ``[piece or None, weight, state inside the trie or
-    None]``.  A character that is no piece itself is read by a fallback arc from the start, which
-    writes it as it is with the weight ``fallback``.
+    Reading a character, it goes on by one arc (an Aho-Corasick automaton), and names the pieces
+    that end there, longest first, with their lengths and weights.  A character that is no piece
+    itself is also read by a fallback arc, which writes it as it is with the weight ``fallback``.
     """
 
     def __init__(self, weights: dict[str, float], fallback: float):
-        self.fallback, self.start = fallback, {}
-        self.known = {p for p in weights if len(p) == 1}
+        self.fallback, self.known, self.ends = fallback, {p for p in weights if len(p) == 1}, ahocorasick.Automaton()
         for piece, weight in weights.items():
-            state = self.start
-            for c in piece[:-1]:
-                arc = state.setdefault(c, [None, 0.0, None])
-                if arc[2] is None:
-                    arc[2] = {}
-                state = arc[2]
-            state.setdefault(piece[-1], [None, 0.0, None])[:2] = piece, weight
+            self.ends.add_word(piece, (piece, len(piece), weight))
+        self.ends.make_automaton()
 
 
-class AnySequence:
-    """The acceptor of all piece sequences: one state, whose arcs weigh nothing."""
+class AnySequence(dict):
+    """The acceptor of all piece sequences: one state, named by any piece, whose arcs weigh nothing."""
 
     START = ""
 
     def __init__(self):
-        self.row: dict[str, float] = defaultdict(float)
-
-    def arcs(self, state: str) -> dict[str, float]:
-        return self.row
-
-
-class _Row(dict):
-    """Arcs of a state by piece, found when first asked for."""
-
-    def __init__(self, allowed: Callable[[str, str], bool], state: str):
         super().__init__()
-        self.allowed, self.state = allowed, state
+        self.arcs: dict[str, float] = defaultdict(float)
 
-    def __missing__(self, piece: str) -> float:
-        weight = self[piece] = 0.0 if self.allowed(self.state, piece) else INFINITY
-        return weight
+    def __missing__(self, state: str) -> dict[str, float]:
+        return self.setdefault(state, self.arcs)
 
 
-class AllowedPairs:
+class AllowedPairs(dict):
     """The acceptor of piece sequences whose adjacent pairs are allowed; its states are the last pieces.
 
     An arc weighs 0 where ``allowed(left, right)`` (left is empty at the start), else infinity.
-    At most ``most`` states are kept.
+    States and arcs are made when first asked for; at most ``most`` states are kept.
     """
 
     START = ""
 
+    class Arcs(dict):
+        def __init__(self, allowed: Callable[[str, str], bool], state: str):
+            super().__init__()
+            self.allowed, self.state = allowed, state
+
+        def __missing__(self, piece: str) -> float:
+            weight = self[piece] = 0.0 if self.allowed(self.state, piece) else INFINITY
+            return weight
+
     def __init__(self, allowed: Callable[[str, str], bool], most: int = 100_000):
-        self.allowed, self.most, self.rows = allowed, most, {}
+        super().__init__()
+        self.allowed, self.most = allowed, most
 
-    def arcs(self, state: str) -> dict[str, float]:
-        row = self.rows.get(state)
-        if row is None:
-            if len(self.rows) >= self.most:
-                self.rows.clear()
-            row = self.rows[state] = _Row(self.allowed, state)
-        return row
+    def __missing__(self, state: str) -> dict[str, float]:
+        if len(self) >= self.most:
+            self.clear()
+        arcs = self[state] = self.Arcs(self.allowed, state)
+        return arcs
 
 
 def shortest_path(text: str, pieces: Pieces, sequences: AnySequence | AllowedPairs) -> list[str]:
     """Pieces on the lightest path of the composition; of equally light ones that whose last piece starts first.
 
     Both acceptors have one state for all accepted paths to a text position: the one there is, or
-    the last piece of the one encoding that a prefix has.  So a position keeps one.
+    the last piece of the one encoding that a prefix has.  So a position keeps one, and the arcs
+    that leave it.
     """
-    n, start, known, fallback = len(text), pieces.start, pieces.known, pieces.fallback
-    best, back, state = [INFINITY] * (n + 1), [0] * (n + 1), [sequences.START] * (n + 1)
-    best[0] = 0.0
-    for i in range(n):
-        so_far = best[i]
-        if so_far == INFINITY:
-            continue
-        follows, inside, j = sequences.arcs(state[i]), start, i
-        if text[i] not in known and (total := so_far + fallback + follows[text[i]]) < best[i + 1]:
-            best[i + 1], back[i + 1], state[i + 1] = total, i, text[i]
-        while j < n:
-            arc = inside.get(text[j])
-            if arc is None:
-                break
-            j += 1
-            piece, weight, inside = arc
-            if piece is not None and (total := so_far + weight + follows[piece]) < best[j]:
-                best[j], back[j], state[j] = total, i, piece
-            if inside is None:
-                break
+    n, known = len(text), pieces.known
+    best, back, follows = [0.0] + [INFINITY] * n, [0] * (n + 1), [sequences[sequences.START]] * (n + 1)
+    unknown = [] if known.issuperset(text) else [i for i, c in enumerate(text) if c not in known]
+    done = 0
+
+    def fall_back(until: int) -> int:
+        """Take the fallback arcs of unknown characters up to a place; the number taken so far."""
+        at = done
+        while at < len(unknown) and unknown[at] <= until:
+            i = unknown[at]
+            total = best[i] + pieces.fallback + follows[i][text[i]]
+            if total < best[i + 1]:
+                best[i + 1], back[i + 1], follows[i + 1] = total, i, sequences[text[i]]
+            at += 1
+        return at
+
+    for end, (piece, length, weight) in pieces.ends.iter(text):
+        if unknown and done < len(unknown) and unknown[done] <= end:
+            done = fall_back(end)
+        j = end + 1
+        i = j - length
+        total = best[i] + weight
+        if total < best[j] and (total := total + follows[i][piece]) < best[j]:
+            best[j], back[j], follows[j] = total, i, sequences[piece]
+    fall_back(n)
     out, j = [], n
     while j:
         out.append(text[back[j] : j])
