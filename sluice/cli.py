@@ -32,13 +32,15 @@ def parser() -> argparse.ArgumentParser:
             for a in args:
                 v.add_argument(a, **({"action": "store_true"} if a in ("--force",) else {"action": "append", "default": []} if a in ("--attribute", "--pattern") else {"type": int, "default": 3600} if a == "--window" else {}))
 
-    noun("stream", list=(), get=("name",), register=("name", "--partition-size", "--retention-hours"), rename=("name", "to"), destroy=("name", "--force"), health=("name",), metrics=("name",), messages=("name",), janitor=("name",), vacuum=("name",), alerts=("name",))
+    noun("stream", list=(), get=("name",), register=("name", "--partition-size", "--retention-hours"), rename=("name", "to"), destroy=("name", "--force"), health=("name",), metrics=("name",), messages=("name",), janitor=("name",), vacuum=("name",), alerts=("name",), workers=("name",))
     noun("key", head=("stream", "key"), messages=("stream", "key"))
     noun("consumer", list=("stream",), get=("stream", "name"), register=("stream", "name", "--pattern"), destroy=("stream", "name", "--force"), binding=("stream", "name"), metrics=("stream", "name"), exceptions=("stream", "name"), deliveries=("stream", "name"))
     noun("schedule", list=(), get=("name",), register=("name", "stream", "cron"), suspend=("name",), unsuspend=("name",), run=("name",), tick=("name",), status=("name",), destroy=("name",))
     noun("metric", list=(), latest=("name", "--attribute"), history=("name", "--attribute", "--window"), export=())
-    noun("alert", list=(), latest=())
-    noun("system", register=(), version=(), bindings=(), destroy=())
+    noun("alert", list=(), latest=(), history=("name",), check=())
+    noun("maintenance", suspend=("stream", "worker"), unsuspend=("stream", "worker"), status=("stream", "worker"))
+    noun("worker", list=(), run=())
+    noun("system", register=(), get=(), version=(), migrate=(), bindings=(), collect=(), janitor=(), destroy=())
     noun("code", list=(), explain=("code",))
     return p
 
@@ -67,7 +69,7 @@ def run(args: argparse.Namespace, client) -> object:
         if verb == "vacuum":
             s.vacuum()
             return {"vacuumed": args.name}
-        return {"get": lambda: _row(s.get()), "health": lambda: _shown(s.health(), n), "metrics": lambda: _shown(s.metrics(), n), "messages": lambda: _shown(s.log().orderBy("id"), n), "janitor": s.janitor, "alerts": s.alert_definitions}[verb]()
+        return {"get": lambda: _row(s.get()), "health": lambda: _shown(s.health(), n), "metrics": lambda: _shown(s.metrics(), n), "messages": lambda: _shown(s.log().orderBy("id"), n), "janitor": s.janitor, "alerts": s.alert_definitions, "workers": lambda: _shown(s.workers(), n)}[verb]()
     if noun == "key":
         k = c.stream(args.stream).key(args.key)
         return _row(k.compaction_head()) if verb == "head" else _shown(k.messages(n), n)
@@ -103,11 +105,24 @@ def run(args: argparse.Namespace, client) -> object:
     if noun == "alert":
         from .operators.alerts import ALERTS
 
-        return list(ALERTS) if verb == "list" else _shown(c.system.alerts(), n)
+        if verb == "check":
+            return c.system.check_alerts()
+        return list(ALERTS) if verb == "list" else _shown(c.system.alerts() if verb == "latest" else c.system.alert(args.name).history(), n)
+    if noun == "maintenance":
+        m = c.stream(args.stream).maintenance(args.worker)
+        if verb != "status":
+            getattr(m, verb)()
+        return {args.worker: m.status()}
+    if noun == "worker":
+        return _shown(c.workers(), n) if verb == "list" else c.manager().run_once()
     s = c.system
     if verb in ("register", "destroy"):
         getattr(s, verb)()
         return {verb: "system"}
+    if verb in ("get", "collect", "janitor"):
+        return getattr(s, verb)()
+    if verb == "migrate":
+        return {"system": s.migrate(), "streams": s.migrate_streams()}
     return dict(zip(("version", "min_compatible"), s.migration_version(), strict=True)) if verb == "version" else _shown(s.bindings(), n)
 
 

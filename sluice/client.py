@@ -14,6 +14,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import handles
 from .functions import cron, expr
 from .functions.codes import Condition
 from .operators import alerts, control, heads, log, metrics, retention, schedules, snapshots
@@ -74,6 +75,23 @@ class Client:
     def system(self) -> System:
         return System(self)
 
+    def transaction(self):
+        """Messages of several streams, appended when the block ends well (``handles.transaction``)."""
+        return handles.transaction(self)
+
+    def manager(self, kinds: dict | None = None, **options) -> handles.Manager:
+        """A manager of the declared workers; without functions of its own it runs janitors, the collector and alert checks."""
+        own = {
+            "janitor": lambda w: Stream(self, self.table("stream_config").where(F.col("id") == w["stream_id"]).first()["name"]).janitor(),
+            "collector": lambda w: self.system.collect(),
+            "alerts": lambda w: self.system.check_alerts(),
+        }
+        return handles.Manager(self, own if kinds is None else kinds, **options)
+
+    def workers(self) -> DataFrame:
+        """Declared workers with their owners, live instances and states."""
+        return snapshots.workers(self.table("worker_config"), self.table("worker_instance"), self.table("stream_config"), self.table("consumer_group_config"), F.lit(self.now()))
+
 
 class System:
     """The system's own streams, migrations, metrics and alerts."""
@@ -86,8 +104,24 @@ class System:
             s = Stream(self.client, name)
             if s.find() is None:
                 s.register(StreamConfig(retention=timedelta(seconds=keep / 10**9), delivery_log_mode=mode, allow_drop_past_committed=lossy), system=True)
-        if not self.client.table("migration_log").where("scope = 'system'").limit(1).collect():
-            self.client.put("migration_log", {"id": self.client.next_id("migration_log"), "scope": "system", "owner_id": 1, "version": 1, "min_compatible": 1, "status": "success", "applied_at": self.client.now()})
+        self.migrate()
+
+    def migrate(self) -> bool:
+        """Bring the store to this build's layout; whether anything was to be done."""
+        return handles.migrate(self.client, "system", 1)
+
+    def migrate_streams(self) -> int:
+        """Bring every stream to this build's layout; how many were not."""
+        return sum(handles.migrate(self.client, "stream", r["id"]) for r in self.client.table("stream_config").select("id").collect())
+
+    def get(self) -> dict:
+        """What is registered, and whether this build may run on it."""
+        handles.supported(self.client)
+        version, floor = self.migration_version()
+        return {"version": version, "min_compatible": floor, "streams": self.client.table("stream_config").count()}
+
+    def readings(self) -> handles.Readings:
+        return handles.Readings(self.client, "system", {}, self.metrics().latest)
 
     def migration_version(self) -> tuple[int, int]:
         r = control.schema_state(self.client.table("migration_log"), "system").first()
@@ -348,6 +382,18 @@ class Stream:
     def key(self, key: str) -> Key:
         return Key(self, key)
 
+    def producer(self) -> handles.Producer:
+        return handles.Producer(self)
+
+    def maintenance(self, name: str = "janitor") -> handles.Maintenance:
+        return handles.Maintenance(self, name)
+
+    def readings(self) -> handles.Readings:
+        return handles.Readings(self.client, "stream", {"stream": self.name}, self.metrics)
+
+    def workers(self) -> DataFrame:
+        return self.client.workers().where(F.col("stream") == self.name)
+
     def consumers(self) -> DataFrame:
         return self.client.table("consumer_group_config").where(F.col("stream_id") == self.get()["id"]).orderBy("name")
 
@@ -430,6 +476,13 @@ class Key:
             raise Condition("SQL0066", self.key)
         return found
 
+    def lock_compaction_head(self):
+        """Make sure that the key has a head, empty if need be, and return its row."""
+        store, name, at = self.stream.store, f"{self.stream.base}/compaction_head", F.lit(self.stream.client.now())
+        rows = heads.lockable(store.table(name), self.key, at).where(F.col("compaction_key") == self.key)
+        store.append(name, rows)
+        return store.table(name).where(F.col("compaction_key") == self.key).first()
+
     def messages(self, limit: int = 100) -> DataFrame:
         return log.key_history(self.stream.log(), self.key, limit)
 
@@ -460,11 +513,17 @@ class Consumer:
                 g._commit({"claimed": at, "committed": at, "reclaims": 0})
         me, stored = self.get(), self.binding()
         wanted = sorted(set(patterns))
-        outcome = control.declaration_outcome(found is not None, stored, wanted, False)
+        outcome = control.declaration_outcome(found is not None, stored, wanted, found is not None and self.live())
         if outcome != "joined":
             self.client.put("binding_config_log", {"id": self.client.next_id("binding_config_log"), "consumer_group_id": me["id"], "status": outcome, "patterns": wanted, "declared_by": declared_by, "declared_at": now, "attempted_at": now})
         return me
 
+    def live(self) -> bool:
+        """Whether an instance holds one of the group's workers: its bindings then wait for the instance to go."""
+        mine = self.client.table("worker_config").where(F.col("consumer_group_id") == self.get()["id"]).select(F.col("id").alias("worker_id"))
+        held = self.client.table("worker_instance").where(F.col("expires_at") > F.lit(self.client.now()))
+        return not held.join(mine, "worker_id", "left_semi").isEmpty()
+
     def binding(self) -> list[str]:
         found = control.effective(self.client.table("binding_config_log").where(F.col("consumer_group_id") == self.get()["id"])).first()
         return list(found["patterns"]) if found else []
@@ -473,6 +532,12 @@ class Consumer:
         s = self.stream.get()
         return Group(self.stream.store, s["id"], self.get()["id"], version, self.binding() if options.pop("bound", True) else [], s["partition_size"], mode=s["delivery_log_mode"], **options)
 
+    def readings(self) -> handles.Readings:
+        return handles.Readings(self.client, "consumer_group", {"group": self.name, "stream": self.stream.name}, self.metrics)
+
+    def workers(self) -> DataFrame:
+        return self.client.workers().where((F.col("consumer_group") == self.name) & F.col("stream").isNull())
+
     def positions(self) -> tuple[int, int]:
         s = self.group(bound=False)._state()
         return s["claimed"], s["committed"]

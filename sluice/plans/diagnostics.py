@@ -164,6 +164,11 @@ def _(t):
     return t.migration_log.orderBy(F.desc("id")).limit(5).select("id", "version", "status")
 
 
+@diagnostic("sql0023_migrations_newest_first", "SELECT CAST(id AS BIGINT) AS id, scope, CAST(owner_id AS BIGINT) AS owner_id, version, status FROM migration_log ORDER BY id DESC LIMIT 5")
+def _(t):
+    return t.migration_log.orderBy(F.desc("id")).limit(5).select("id", "scope", "owner_id", "version", "status")
+
+
 @diagnostic("sql0023_floor_raised_by", "SELECT CAST(id AS BIGINT) AS id, version FROM migration_log WHERE status = 'success' AND min_compatible > 1")
 def _(t):
     return t.migration_log.where("status = 'success' and min_compatible > 1").orderBy("id").select("id", "version")

@@ -26,3 +26,8 @@ def test_commands(spark, tmp_path, capsys):
     assert run("stream", "destroy", "orders", code=1)["code"] == "SQL0006"
     assert json.loads(run("stream", "destroy", "orders", "--force")) == {"destroyed": "orders"}
     assert len(json.loads(run("alert", "list"))) == 4
+    assert json.loads(run("stream", "register", "orders"))["name"] == "orders"
+    assert json.loads(run("maintenance", "status", "orders", "janitor")) == {"janitor": "enabled"}
+    assert json.loads(run("maintenance", "suspend", "orders", "janitor")) == {"janitor": "suspended"}
+    assert json.loads(run("worker", "list"))[0]["state"] == "suspended" and json.loads(run("worker", "run")) == {}
+    assert json.loads(run("system", "migrate")) == {"system": True, "streams": 1}

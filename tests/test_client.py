@@ -167,3 +167,83 @@ def test_expired_rows_are_swept_after_the_grace_period(client, clock):
     clock.t += timedelta(minutes=6)
     assert s.janitor()["rows"] == 2
     assert [r.id for r in s.log().collect()] == [3]
+
+
+def test_producers_transactions_and_readings(client, clock):
+    client.system.register()
+    orders, audit = client.stream("orders"), client.stream("audit")
+    assert code(orders.producer().register) == "SQL0005"
+    orders.register()
+    audit.register()
+    p = orders.producer().register()
+    assert p.produce("{}", idempotency_key="a") == 1 and p.produce("{}", idempotency_key="a") == 0
+    with pytest.raises(ValueError):
+        p.produce_batch([{"payload": "1"}, {"payload": "2", "concurrency": "ordered"}])
+    with pytest.raises(KeyError):
+        p.produce_func(lambda write: (write("1"), {}["none"]))
+    assert orders.log().count() == 1  # all or nothing
+    assert len(p.produce_func(lambda write: [write(str(i)) for i in range(3)])) == 3
+    with client.transaction() as write:
+        write("orders", "5", routing_key="x")
+        write("audit", "6")
+    with pytest.raises(KeyError), client.transaction() as write:
+        write("orders", "never")
+        raise KeyError
+    assert (orders.log().count(), audit.log().count()) == (5, 1)
+    head = orders.key("k").lock_compaction_head()
+    assert head["message_id"] is None and orders.key("k").lock_compaction_head()["compaction_key"] == "k" and orders.heads().count() == 1
+    orders.consumer("billing").register()
+    client.system.collect()
+    assert orders.readings().state_partitions.latest() == 1 and orders.consumer("billing").readings().cursor_head.latest() == 5
+    assert [r.value for r in orders.readings().metric("stream.state.partitions").history(timedelta(hours=1)).collect()] == [1]
+    with pytest.raises(ValueError):
+        orders.readings().metric("consumer.cursor.head")
+    with pytest.raises(AttributeError):
+        orders.readings().nothing  # noqa: B018
+
+
+def test_the_manager_runs_backs_off_and_respects_suspension(client, clock):
+    client.system.register()
+    orders = client.stream("orders")
+    orders.register(StreamConfig(retention=timedelta(days=1)))
+    ran = []
+
+    def flaky(worker):
+        ran.append(clock.t)
+        if len(ran) < 3:
+            raise RuntimeError("not yet")
+
+    m = client.manager({"flaky": flaky})
+    me = m.declare("flaky")
+    m.declare("unknown")
+    assert m.run_once() == {me: "RuntimeError: not yet"} and m.run_once() == {}  # backs off for a second
+    clock.t += timedelta(seconds=1)
+    assert m.run_once() == {me: "RuntimeError: not yet"}
+    clock.t += timedelta(seconds=1)
+    assert m.run_once() == {}  # two by now
+    clock.t += timedelta(seconds=1)
+    assert m.run_once() == {me: None} and len(ran) == 3
+    assert client.table("worker_instance_log").count() == 3
+    j = orders.maintenance()
+    assert j.status() == "enabled"
+    j.suspend()
+    assert j.status() == "suspended" and orders.workers().first()["state"] == "suspended"
+    assert client.manager().run_once() == {}
+    j.unsuspend()
+    assert list(client.manager().run_once().values()) == [None]
+    assert client.system.get()["version"] == 1 and client.system.migrate_streams() == 4 and client.system.migrate_streams() == 0
+
+
+def test_bindings_wait_for_live_consumers(client, clock):
+    orders = client.stream("orders")
+    orders.register()
+    g = orders.consumer("billing")
+    g.register(["a.*"])
+    me = client.manager({}).declare("consumer", consumer_group_id=g.get()["id"])
+    client.put("worker_instance", {"worker_id": me, "token": "t", "expires_at": clock.t + timedelta(seconds=30), "attempts": 0, "created_at": clock.t})
+    g.register(["b.*"])
+    assert g.live() and g.binding() == ["a.*"]
+    assert [r.status for r in client.table("binding_config_log").orderBy("id").collect()] == ["installed", "waiting"]
+    clock.t += timedelta(minutes=1)
+    g.register(["b.*"])
+    assert not g.live() and g.binding() == ["b.*"]
