@@ -121,8 +121,6 @@ def message(*fields):
 
 def unigram_model(rules, byte_fallback=True, prefix=True, trim=True):
     """A hand-made unigram model with a character map, as the library reads it."""
-    import unicodedata  # noqa: F401
-
     words = {"▁": -2.0, "▁the": -3.0, "the": -4.1, "▁a": -3.3, "a": -4.0, "b": -4.2, "c": -4.3, "ab": -5.0, "bc": -5.1, "abc": -6.3, "▁ab": -5.9, "t": -6.0, "h": -6.1, "e": -5.5, "he": -6.2, "fi": -6.6, "f": -7.0, "i": -6.7, "1": -7.1, "2": -7.2, "/": -7.3, "12": -8.0, "é": -9.0, "▁▁": -4.5}
     pieces = [("<unk>", 0.0, fst.UNKNOWN), ("<s>", 0.0, fst.CONTROL), ("</s>", 0.0, fst.CONTROL)]
     pieces += [(f"<0x{i:02X}>", 0.0, fst.BYTE) for i in range(256)] if byte_fallback else []
