@@ -171,13 +171,13 @@ class Transducer:
             return array("i", self._solve(text)).tobytes()
         kept, words = self.kept, self.words.findall(text)
         out = list(map(kept.get, words))
-        if None in out:
-            for k, found in enumerate(out):
-                if found is None:
-                    w = words[k]
-                    found = out[k] = kept.get(w) or array("i", self._solve(w)).tobytes()
-                    if len(kept) < KEPT_WORDS and len(w) < 64:
-                        kept[w] = found
+        k = -1
+        for _ in range(out.count(None)):
+            k = out.index(None, k + 1)
+            w = words[k]
+            found = out[k] = kept.get(w) or array("i", self._solve(w)).tobytes()
+            if len(kept) < KEPT_WORDS and len(w) < 64:
+                kept[w] = found
         return b"".join(out)
 
     # the inverse transducer

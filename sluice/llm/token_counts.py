@@ -120,10 +120,11 @@ class PrefixCounter:
                     run, run_count = run + word, run_count + found[2]
                 elif run:
                     run, run_count = "", 0
-        elif None in solved:
-            for k, found in enumerate(solved):
-                if found is None:
-                    solved[k] = self._kept(words[k], words[k], "", 0)
+        else:
+            k = -1
+            for _ in range(solved.count(None)):
+                k = solved.index(None, k + 1)
+                solved[k] = self._kept(words[k], words[k], "", 0)
         parts, sizes, _, _ = zip(*solved)  # noqa: B905
         own, lengths = np.frombuffer(b"".join(sizes), dtype=np.int32).reshape(-1, 2).T
         before = np.cumsum(own, dtype=np.int32)
