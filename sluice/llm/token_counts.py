@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bpe_paths import Vocabulary
 from .shared import character_class
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 500_000
 _RUNS = re.compile(r"\s\s")
 
 
